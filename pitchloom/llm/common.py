@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -89,7 +90,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = [t.split() for t in texts]
     starts = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum([len(w) for w in words], out=starts[1:])
-    flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in words for w in ws), dtype=np.uint64, count=int(starts[-1]))
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), dtype=np.uint64, count=int(starts[-1]))
     return flat, starts
 
 
@@ -114,7 +115,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(windows[a : b - k + 1]))
         elif b > a:
-            out.append(mix(np.array([np.sum(words[a:b] * few[: b - a]) + few[k] * np.uint64(b - a)], dtype=np.uint64)))
+            out.append(mix(np.sum(words[a:b] * few[: b - a], keepdims=True) + few[k:] * np.array([b - a], dtype=np.uint64)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
