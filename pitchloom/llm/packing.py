@@ -12,6 +12,8 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable
 
@@ -27,6 +29,8 @@ END_ID = 1
 BUCKET_ROWS = 20_000
 #: Words whose ids a task remembers at most; the memory starts anew when it is full.
 REMEMBERED = 400_000
+#: Fixed value: the tokenizer file's splitting pattern, for lower-cased ASCII.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def token_ids(path: str) -> Callable[[bytes], bytes]:
@@ -35,10 +39,28 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words, one after another; ids of words seen before
     are remembered.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
     known: dict[bytes, bytes] = {}
+    pieces: dict[str, list[int]] = {}
+
+    def piece(p: str) -> list[int]:
+        got = pieces.get(p)
+        if got is None:
+            if len(pieces) > REMEMBERED:
+                pieces.clear()
+            got = pieces[p] = [t.id for t in model.tokenize(p)]
+        return got
+
+    def plain(word: str) -> bytes:
+        """Ids of a word of printable ASCII characters, to which the tokenizer's Unicode steps do nothing."""
+        found: list[int] = []
+        for p in ASCII_PIECES.findall(word.lower()):
+            found += piece(p)
+        return np.array(found, dtype="<u4").tobytes()
 
     def ids(text: bytes) -> bytes:
         words = text.split()
@@ -47,8 +69,15 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(set(words))
-            got = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(g.ids, dtype="<u4").tobytes()) for w, g in zip(new, got, strict=True))
+            others = []
+            for w in new:
+                s = w.decode()
+                if s.isascii() and s.isprintable() and "<|" not in s:
+                    known[w] = plain(s)
+                else:
+                    others.append((w, s))
+            got = tokenizer.encode_batch_fast([s for _, s in others], add_special_tokens=False)
+            known.update((w, np.array(g.ids, dtype="<u4").tobytes()) for (w, _), g in zip(others, got, strict=True))
         return b"".join(map(known.__getitem__, words))
 
     return ids
