@@ -4,10 +4,11 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased; words are run
 the whole sequence is its one shingle. Two documents are linked if 100 * |intersection| >= 75 * |union|. Shingles are compared
 as 64-bit hashes of hashed words.
 
-Equal sets are first collapsed to their smallest doc_id. Each bucket of a band then links its members to its smallest one; the
-pairs are confirmed on full sets. Buckets whose members still lie in different components are open: all their pairs across
-components are compared as well, so no confirmed link within a bucket is lost, whatever a bucket's size. With 32 bands of 4 values a link
-of similarity 0.75 shares no bucket with probability 5e-6; signatures whose agreement is under 0.55 are not confirmed (under 1e-6 at 0.75).
+Equal sets are first collapsed to their smallest doc_id. Documents that share a bucket of any band, directly or through others, form a
+family; links lie within families. Families are dealt into groups of bounded size; each group's intersections are counted exactly and it
+yields a spanning forest of its links, so no pairs are emitted. In a family of several groups, members outside its largest component are
+then compared with all other groups, block by block. So every link between two members of a family counts, whatever its size. With 32
+bands of 4 values a pair of similarity 0.75 shares no bucket with probability 5e-6 (and may still be of one family).
 
 Defined results: null, empty or wordless text: n_shingles 0, own component, kept. Ties: the smallest doc_id. Repeated rows (same doc_id): both
 are returned and share a component. Empty table: empty result. Extra columns are ignored by `components_of` and kept by `deduplicated`.
@@ -15,8 +16,6 @@ are returned and share a component. Empty table: empty result. Extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, longs, map_texts, nested, shingle_sets, text_bytes
-from .components import connected_components
+from .components import connected_components, forest
 from .minhash import band_keys, superminhash
 
 SLOTS, BANDS, ROWS = 128, 32, 4
-#: Least share of agreeing slots of a pair that is confirmed on full sets.
-LEAST_AGREEMENT = 0.55
+#: Most members and shingles of a group; a longer document is a group of its own.
+GROUP_MEMBERS, GROUP_SHINGLES = 500, 250_000
+COLUMNS = 2048
 
 
 def sketch(texts: list[bytes]) -> dict:
@@ -38,71 +38,84 @@ def sketch(texts: list[bytes]) -> dict:
     np.cumsum([len(s) for s in sets], out=starts[1:])
     signature = superminhash(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), starts, SLOTS)
     keys = band_keys(signature, BANDS, ROWS).view(np.int64)
-    low = (signature & np.uint64(0xFF)).astype(np.uint8)  # agreement by chance: 1/256
     return {
         "n_shingles": longs([len(s) for s in sets]),
         "set_id": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-        "signature": pa.array([x.tobytes() for x in low], pa.binary()),
         "bands": nested(keys.reshape(-1), [BANDS] * len(sets), pa.int64()),
     }
 
 
-def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sizes and signatures, those that may be similar enough."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(n, SLOTS) for c in ("sa", "sb"))
-        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        good = ((x == y).mean(axis=1) >= LEAST_AGREEMENT) & (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb))
-        yield batch.select(["a", "b"]).filter(pa.array(good))
-
-
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those that are linked."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            part = batch.slice(k, 64)
-            x, y = (shingle_sets([t.lower() for t in text_bytes(part.column(c))]) for c in ("ta", "tb"))
-            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            good = [100 * i >= 75 * (len(p) + len(q) - i) and i > 0 for i, p, q in zip(both, x, y, strict=True)]
-            yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def links_among(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, as a table in the shared folder."""
-    side = lambda s: sketches.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("signature").alias(f"s{s}"))
-    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(agreeing, "a long, b long"))
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    return cut(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(confirmed, "a long, b long"))
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """|x[i] and y[j]| for all i, j: products of 0/1 matrices, COLUMNS shingles at a time."""
+    values = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times[column] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[column[often]], owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(x), len(y)), dtype=np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [k, k + COLUMNS])
+        ones = np.zeros((len(x) + len(y), COLUMNS), dtype=np.float32)
+        ones[owner[a:b], column[a:b] - k] = 1
+        total += ones[: len(x)] @ ones[len(x) :].T
+    return total
+
+
+def spanning(ids: list[int], x: list[int], y: list[int], sets: list[np.ndarray]) -> pa.Table:
+    """A spanning forest of the links between members x and y (positions in ids and sets)."""
+    both = intersections([sets[i] for i in x], [sets[j] for j in y])
+    nx, ny = (np.array([len(sets[i]) for i in side], dtype=np.float32) for side in (x, y))
+    i, j = np.nonzero((100 * both >= 75 * (nx[:, None] + ny[None, :] - both)) & (both > 0))
+    root: dict[int, int] = {}
+    name = np.array(ids, dtype=np.int64)
+    forest(np.stack([name[np.array(x)[i]], name[np.array(y)[j]]], axis=1) if len(i) else np.zeros((0, 2), dtype=np.int64), root)
+    links = [(u, v) for u, v in root.items() if u != v]
+    return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+
+def within_group(table: pa.Table) -> pa.Table:
+    sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
+    everyone = list(range(len(sets)))
+    return spanning(table.column("rid").to_pylist(), everyone, everyone, sets)
+
+
+def between_blocks(table: pa.Table) -> pa.Table:
+    sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
+    left = table.column("left").to_pylist()
+    x, y = ([i for i, side in enumerate(left) if side == want] for want in (True, False))
+    return spanning(table.column("rid").to_pylist(), x, y, sets) if x and y else within_group(table.slice(0, 0))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    sketches = cut(map_texts(docs, lambda: sketch, "n_shingles long, set_id binary, signature binary, bands array<long>", ["doc_id"]))
+    sketches = cut(map_texts(docs, lambda: sketch, "n_shingles long, set_id binary, bands array<long>", ["doc_id"]))
     copies = cut(sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_id", "rid"))
-    named = sketches.join(copies, "set_id", "left").withColumn("rid", F.coalesce("rid", "doc_id"))
-    distinct = cut(named.where("doc_id = rid and n_shingles > 0").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature", "bands"))
-
-    rows = distinct.select(F.col("doc_id").alias("rid"), F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    shared = cut(rows.join(hubs, "key"))  # members of buckets of two or more
-    pairs = shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    links = links_among(pairs, distinct, docs)
+    named = sketches.join(copies, "set_id", "left").select("doc_id", "n_shingles", "bands", F.coalesce("rid", "doc_id").alias("rid"))
+
+    rows = named.where("doc_id = rid and n_shingles > 0").select("rid", F.explode("bands").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub <> other").select("key", "hub")
+    families = connected_components(rows.join(hubs, "key").where("rid <> hub").select("rid", "hub").distinct())
+    families = families.select(F.col("node").alias("rid"), F.col("component").alias("family"))
+    texts = docs.select(F.col("doc_id").alias("rid"), "text").join(families, "rid").dropDuplicates(["rid"])
+    texts = texts.join(named.where("doc_id = rid").select("rid", "n_shingles").dropDuplicates(["rid"]), "rid")
+    sizes = texts.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).alias("groups"))
+    members = cut(texts.join(sizes, "family").select("rid", "text", "family", "groups", F.pmod(F.xxhash64("rid"), "groups").alias("g")))
+    links = cut(members.groupBy("family", "g").applyInArrow(within_group, "a long, b long"))
     found = connected_components(links)
 
-    labelled = shared.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "hub", F.coalesce("component", "rid").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    opened = cut(labelled.join(open_keys, "key", "left_semi"))
-    x, y = (opened.select("key", F.col("rid").alias(s), F.col("c").alias(f"c{s}"), F.col("hub").alias(f"h{s}")) for s in "ab")
-    # pairs with the bucket's hub have been compared already
-    across = x.join(y, "key").where("a < b and ca <> cb and a <> ha").select("a", "b").distinct()
-    more = links_among(across, distinct, docs)
-    if not more.isEmpty():
-        found = connected_components(found.select("component", "node").union(more))
+    large = members.where("groups > 1").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
+    if not large.isEmpty():
+        most = large.groupBy("family", "c").count().groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
+        large = cut(large.join(most, "family").select("rid", "text", "family", "groups", "g", (F.col("c") == F.col("most")).alias("inside")))
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
+        # a block: outsiders of group i against all of group j; pairs of outsiders once
+        x = large.where("not inside").select("rid", "text", "family", F.col("g").alias("i"), blocks.alias("j"), F.lit(True).alias("left")).where("i <> j")
+        y = large.select("rid", "text", "family", blocks.alias("i"), F.col("g").alias("j"), F.lit(False).alias("left"), "inside").where("i <> j and (inside or i < j)").drop("inside")
+        more = cut(x.unionByName(y).groupBy("family", "i", "j").applyInArrow(between_blocks, "a long, b long"))
+        if not more.isEmpty():
+            found = connected_components(found.select("component", "node").union(more))
     final = named.select("doc_id", "n_shingles", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     component = F.coalesce("component", "rid")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
