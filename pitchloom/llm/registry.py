@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import near_dup, packing, pii, quality, token_counts, unigram
+from . import near_dup, packing, passages, pii, quality, token_counts, unigram
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removals(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_sentencepiece, op6_pii, op7_token_counts, op9_near_dup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op9_near_dup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
