@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, longs, map_texts, nested
+from .token_counts import byte_alphabet
 
 WINDOW = 2048
 END_ID = 1
 BUCKET_ROWS = 20_000
 #: Words whose ids a task remembers at most; the memory starts anew when it is full.
 REMEMBERED = 400_000
-#: Fixed value: the tokenizer file's splitting pattern, for lower-cased ASCII.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of printable ASCII and the letters of Latin-1: normal form C leaves them as they are.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: the tokenizer file's splitting pattern, for lower-cased plain words.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def token_ids(path: str) -> Callable[[bytes], bytes]:
@@ -46,19 +49,20 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
     model = tokenizer.model
     known: dict[bytes, bytes] = {}
     pieces: dict[str, list[int]] = {}
+    signs = {byte: sign for sign, byte in byte_alphabet().items()}
 
     def piece(p: str) -> list[int]:
         got = pieces.get(p)
         if got is None:
             if len(pieces) > REMEMBERED:
                 pieces.clear()
-            got = pieces[p] = [t.id for t in model.tokenize(p)]
+            got = pieces[p] = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
         return got
 
     def plain(word: str) -> bytes:
-        """Ids of a word of printable ASCII characters, to which the tokenizer's Unicode steps do nothing."""
+        """Ids of a word of PLAIN characters."""
         found: list[int] = []
-        for p in ASCII_PIECES.findall(word.lower()):
+        for p in PIECES.findall(word.lower()):
             found += piece(p)
         return np.array(found, dtype="<u4").tobytes()
 
@@ -72,7 +76,7 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
             others = []
             for w in new:
                 s = w.decode()
-                if s.isascii() and s.isprintable() and "<|" not in s:
+                if PLAIN.fullmatch(s) and "<|" not in s:
                     known[w] = plain(s)
                 else:
                     others.append((w, s))
