@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import near_dup, packing, passages, pii, quality, secret_scan, token_counts, unigram
+from . import near_dup, packing, passages, pii, quality, secret_scan, token_counts, toxicity, unigram
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op9_near_dup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op9_near_dup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
