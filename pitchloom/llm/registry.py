@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import near_dup, packing, passages, pii, quality, secret_scan, token_counts, toxicity, unigram
+from . import near_dup, packing, passages, pii, quality, secret_scan, token_counts, toxicity, unigram, webp
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_digests(documents(spark, sf_dir))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components_of(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op9_near_dup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op8_webp, op9_near_dup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
