@@ -25,6 +25,8 @@ from .common import longs, map_texts
 
 MARKER = "▁"
 REMEMBERED = 400_000
+#: Below any sum of scores.
+LEAST = float("-inf")
 
 
 class DoubleArray:
@@ -43,6 +45,7 @@ class DoubleArray:
             ends[node] = value
         size = 2 * len(children) + 512
         self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
+        # a slot taken by the root's own number can never be a child: bases are 1 or more
         free = {True: 1, False: 1}  # where the search goes on, for states with one child and with more
         self.check[0] = 0
         todo = [(0, 0)]
@@ -66,18 +69,6 @@ class DoubleArray:
                 self.check[base + b] = state
                 todo.append((children[node][b], base + b))
 
-    def starting(self, data: bytes, at: int):
-        """(end, value) of each key that data has at `at`, shortest first."""
-        base, check, value = self.base, self.check, self.value
-        state = 0
-        for k in range(at, len(data)):
-            to = base[state] + data[k]
-            if to >= len(check) or check[to] != state or not to:
-                return
-            state = to
-            if value[state] >= 0:
-                yield k + 1, value[state]
-
 
 class Unigram:
     def __init__(self, pieces: list[tuple[str, float, str]]):
@@ -97,19 +88,30 @@ class Unigram:
     def best(self, unit: str) -> list[int]:
         """The ids of the best segmentation of a unit."""
         data = unit.encode()
-        n, scores, starting, unknown = len(data), self.scores, self.trie.starting, self.unknown_score
-        total: list[float | None] = [None] * (n + 1)
+        n, scores, unknown = len(data), self.scores, self.unknown_score
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        total = [LEAST] * (n + 1)
         came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         total[0] = 0.0
         at = 0
         while at < n:
-            size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            here, single = total[at], False
-            for end, piece in starting(data, at):
-                if (old := total[end]) is None or here + scores[piece] > old:
-                    total[end], came[end] = here + scores[piece], (at, piece)
-                single = single or end == at + size
-            if not single and ((old := total[at + size]) is None or here + unknown > old):
+            lead = data[at]
+            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            here, single, state, end = total[at], False, 0, at
+            while end < n:  # down the trie along the text
+                to = base[state] + data[end]
+                if check[to] != state:
+                    break
+                state = to
+                end += 1
+                piece = value[state]
+                if piece >= 0:
+                    score = here + scores[piece]
+                    if score > total[end]:
+                        total[end], came[end] = score, (at, piece)
+                    if end == at + size:
+                        single = True
+            if not single and here + unknown > total[at + size]:
                 total[at + size], came[at + size] = here + unknown, (at, -1)
             at += size
         out: list[list[int]] = []
