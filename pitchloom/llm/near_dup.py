@@ -65,6 +65,8 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def spanning(ids: list[int], x: list[int], y: list[int], sets: list[np.ndarray]) -> pa.Table:
     """A spanning forest of the links between members x and y (positions in ids and sets)."""
+    if not x or not y:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     both = intersections([sets[i] for i in x], [sets[j] for j in y])
     nx, ny = (np.array([len(sets[i]) for i in side], dtype=np.float32) for side in (x, y))
     i, j = np.nonzero((100 * both >= 75 * (nx[:, None] + ny[None, :] - both)) & (both > 0))
@@ -85,7 +87,7 @@ def between_blocks(table: pa.Table) -> pa.Table:
     sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
     left = table.column("left").to_pylist()
     x, y = ([i for i, side in enumerate(left) if side == want] for want in (True, False))
-    return spanning(table.column("rid").to_pylist(), x, y, sets) if x and y else within_group(table.slice(0, 0))
+    return spanning(table.column("rid").to_pylist(), x, y, sets)
 
 
 def components_of(docs: DataFrame) -> DataFrame:
