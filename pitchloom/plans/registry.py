@@ -1,9 +1,20 @@
-"""Queries of the match analytics and their SQL."""
+"""All plans of the match analytics and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import decisions, evaluation, feeds, form, rating, results, tickets  # noqa: F401  they register their plans
+from .core import PLANS, SQL, Plan
 
-def oracle_sql():
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PLANS["e04_recent_form"](spark, sf_dir)
+
+
+def queries() -> dict[str, Plan]:
+    return dict(PLANS)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
