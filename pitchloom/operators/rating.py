@@ -91,23 +91,35 @@ def poisson(rate_: Column, k: Column) -> Column:
     return F.when(rate_ <= 0, (k == 0).cast("double")).otherwise(F.exp(-rate_) * F.pow(rate_, k) / F.factorial(k))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dixon_coles(home: Column, away: Column, rho: Column, most: int = GRID) -> Column:
     """struct<home, draw, away> over scores 0..most.
 
     Sums over the independent grid come from running totals; the correction touches four cells only and is added to them.
     """
     goals = F.sequence(F.lit(0), F.lit(most))
-    h, a = F.transform(goals, lambda k: poisson(home, k)), F.transform(goals, lambda k: poisson(away, k))
-    below = lambda x, k: F.aggregate(F.slice(x, 1, k), F.lit(0.0), lambda s, y: s + y)
-    wins = lambda x, y: F.aggregate(F.zip_with(x, F.transform(goals, lambda k: below(y, k)), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    ties = F.aggregate(F.zip_with(h, a, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    at = lambda i, j: F.get(h, F.lit(i)) * F.get(a, F.lit(j))
-    p_home = wins(h, a) + at(1, 0) * away * rho
-    p_away = wins(a, h) + at(0, 1) * home * rho
-    p_draw = ties - at(0, 0) * home * away * rho - at(1, 1) * rho
-    total = p_home + p_draw + p_away
-    part = lambda p: F.when(total > 0, p / total).otherwise(F.lit(1 / 3))
-    return F.struct(part(p_home).alias("home"), part(p_draw).alias("draw"), part(p_away).alias("away"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    pmf = lambda rate_: F.transform(goals, lambda k: poisson(rate_, k))
+
+    def shares(x: Column) -> Column:
+        h, a, lh, la, r = x["h"], x["a"], x["lh"], x["la"], x["r"]
+        wins = lambda p, q: total(F.transform(p, lambda v, k: v * total(F.slice(q, 1, k))))
+        at = lambda i, j: F.get(h, F.lit(i)) * F.get(a, F.lit(j))
+        return F.struct(
+            (wins(h, a) + at(1, 0) * la * r).alias("home"),
+            (total(F.zip_with(h, a, lambda p, q: p * q)) - at(0, 0) * lh * la * r - at(1, 1) * r).alias("draw"),
+            (wins(a, h) + at(0, 1) * lh * r).alias("away"),
+        )
+
+    def scaled(p: Column) -> Column:
+        whole = p["home"] + p["draw"] + p["away"]
+        return F.struct(*(F.when(whole > 0, p[k] / whole).otherwise(F.lit(1 / 3)).alias(k) for k in ("home", "draw", "away")))
+
+    return let(let(F.struct(pmf(home).alias("h"), pmf(away).alias("a"), home.alias("lh"), away.alias("la"), rho.alias("r")), shares), scaled)
 
 
 def class_priors(played: DataFrame) -> DataFrame:
