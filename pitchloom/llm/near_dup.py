@@ -11,7 +11,7 @@ then compared with all other groups, block by block. So every link between two m
 bands of 4 values a pair of similarity 0.75 shares no bucket with probability 5e-6 (and may still be of one family).
 
 Defined results: null, empty or wordless text: n_shingles 0, own component, kept. Ties: the smallest doc_id. Repeated rows (same doc_id): both
-are returned and share a component. Empty table: empty result. Extra columns are ignored by `components_of` and kept by `deduplicated`.
+are returned and share a component. Null doc_id: kept, in no component. Empty table: empty result. Extra columns are ignored by `components_of` and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def components_of(docs: DataFrame) -> DataFrame:
             found = connected_components(found.select("component", "node").union(more))
     final = named.select("doc_id", "n_shingles", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     component = F.coalesce("component", "rid")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

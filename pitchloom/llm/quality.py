@@ -7,8 +7,8 @@ A document goes if it fails the base rules (too short, or mostly repeated 8-word
 grossly on any host, or if it breaks one mildly on a suspect host. A clean document stays wherever it was found.
 
 Defined results: null or empty text: no words, fails the base rules. Null host: a host of its own. Repeated rows: each
-counts. Empty table: empty result. Other columns pass through `apply_rules` unless they bear a name of METRICS or
-VERDICTS, in which case the computed column replaces them.
+counts. Empty table: empty result. Other columns pass through `apply_rules` whatever
+their names; `verdicts` ignores them.
 """
 
 from __future__ import annotations
@@ -111,9 +111,9 @@ def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that stay, with the columns of docs. Texts are measured twice rather than shuffled."""
-    columns = docs.columns
-    rates = cut(host_rates(measured(docs, [host]), host))
-    return judged(measured(docs.withColumn("__text_out", F.col("text")), [*columns]), rates, host).where("kept").select(*columns)
+    rows = docs.select(F.struct("*").alias("__row"), F.col(host).alias("__source"), "text")  # in a struct, so that no name clashes
+    rates = cut(host_rates(measured(rows, ["__source"]), "__source"))
+    return judged(measured(rows, ["__row", "__source"]), rates, "__source").where("kept").select("__row.*")
 
 
 BASE_SQL = r"""

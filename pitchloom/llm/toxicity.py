@@ -103,7 +103,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
