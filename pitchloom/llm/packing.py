@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,15 @@ from .token_counts import byte_alphabet
 WINDOW = 2048
 END_ID = 1
 BUCKET_ROWS = 20_000
-#: Words whose ids a task remembers at most; the memory starts anew when it is full.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers at most, twice over; the memory starts anew when it is full.
+REMEMBERED = 300_000
 #: Words of printable ASCII and the letters of Latin-1: normal form C leaves them as they are.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the tokenizer file's splitting pattern, for lower-cased plain words.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
+@lru_cache(maxsize=2)
 def token_ids(path: str) -> Callable[[bytes], bytes]:
     """A function from a text's UTF-8 to its ids as little-endian unsigned 32-bit integers.
 
@@ -49,14 +52,19 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
     model = tokenizer.model
     known: dict[bytes, bytes] = {}
     pieces: dict[str, list[int]] = {}
+    older: list[dict] = [{}, {}]  # what was remembered before the last start anew: frequent words move over
     signs = {byte: sign for sign, byte in byte_alphabet().items()}
 
     def piece(p: str) -> list[int]:
         got = pieces.get(p)
         if got is None:
             if len(pieces) > REMEMBERED:
+                older[1] = dict(pieces)
                 pieces.clear()
-            got = pieces[p] = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
+            got = older[1].get(p)
+            if got is None:
+                got = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
+            pieces[p] = got
         return got
 
     def plain(word: str) -> bytes:
@@ -64,24 +72,30 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
         found: list[int] = []
         for p in PIECES.findall(word.lower()):
             found += piece(p)
-        return np.array(found, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(found)}I", *found)
 
     def ids(text: bytes) -> bytes:
         words = text.split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            others = []
-            for w in new:
+        distinct = set(words)
+        if len(known) + len(distinct) > REMEMBERED:
+            older[0] = dict(known)
+            known.clear()
+        others = []
+        for w in distinct:
+            if w in known:
+                continue
+            got = older[0].get(w)
+            if got is None:
                 s = w.decode()
                 if PLAIN.fullmatch(s) and "<|" not in s:
-                    known[w] = plain(s)
+                    got = plain(s)
                 else:
                     others.append((w, s))
-            got = tokenizer.encode_batch_fast([s for _, s in others], add_special_tokens=False)
-            known.update((w, np.array(g.ids, dtype="<u4").tobytes()) for (w, _), g in zip(others, got, strict=True))
+                    continue
+            known[w] = got
+        if others:
+            for (w, _), g in zip(others, tokenizer.encode_batch_fast([s for _, s in others], add_special_tokens=False), strict=True):
+                known[w] = struct.pack(f"<{len(g.ids)}I", *g.ids)
         return b"".join(map(known.__getitem__, words))
 
     return ids
