@@ -35,10 +35,10 @@ def team_profiles(spark, sf_dir):
     return rating.team_profiles(derive.played(spark, sf_dir))
 
 
-@plan("i10_profile_strength", PROFILES + f"SELECT team_id, round({strength_sql('home')}, 6) AS s_home, round({strength_sql('away')}, 6) AS s_away FROM prof")
+@plan("i10_profile_strength", PROFILES + f"SELECT team_id, round({strength_sql('home')}, 9) AS s_home, round({strength_sql('away')}, 9) AS s_away FROM prof")
 def profile_strength(spark, sf_dir):
     found = rating.team_profiles(derive.played(spark, sf_dir))
-    return found.select("team_id", F.round(rating.profile_strength("home"), 6).alias("s_home"), F.round(rating.profile_strength("away"), 6).alias("s_away"))
+    return found.select("team_id", F.round(rating.profile_strength("home"), 9).alias("s_home"), F.round(rating.profile_strength("away"), 9).alias("s_away"))
 
 
 @plan("i08_competition_profiles", TEAM_ROWS + COMPETITIONS + "SELECT competition_id, matches, home_wins, away_wins, draws, home_goals, away_goals, round(home_bonus, 6) AS home_bonus, round(home_rate, 6) AS home_rate, round(away_rate, 6) AS away_rate, round(draw_rate, 6) AS draw_rate FROM comp")
@@ -124,7 +124,7 @@ SMALL = (
 g AS (SELECT h.match_id, h.points_per_match - a.points_per_match AS fg, h.goal_balance - a.goal_balance AS gg, h.days_rest - a.days_rest AS rg FROM fr h JOIN fr a ON a.match_id = h.match_id AND h.is_home AND NOT a.is_home),
 s AS (SELECT match_id, least(greatest(0.75 * fg + 0.55 * gg / 8 + 0.08 * rg, -4.0), 4.0) AS s FROM g),
 d AS (SELECT match_id, s, greatest(0.18, 0.34 - least(abs(s) * 0.05, 0.16)) AS d FROM s)
-SELECT match_id, round((1 - d) / (1 + exp(-s)), 6) AS p_home, round(d, 6) AS p_draw, round(1 - d - (1 - d) / (1 + exp(-s)), 6) AS p_away FROM d"""
+SELECT match_id, round((1 - d) / (1 + exp(-s)), 9) AS p_home, round(d, 9) AS p_draw, round(1 - d - (1 - d) / (1 + exp(-s)), 9) AS p_away FROM d"""
 ).replace("\ns AS (SELECT match_id, least", "\nss AS (SELECT match_id, least").replace("AS d FROM s)", "AS d FROM ss)")
 
 
@@ -135,4 +135,4 @@ def small_sample_rule(spark, sf_dir):
     both = side(True, "h").join(side(False, "a"), "match_id")
     gap = lambda c: F.col(f"h_{c}") - F.col(f"a_{c}")
     rows = both.select("match_id", gap("points_per_match").alias("form_gap"), (gap("goal_balance") / 8).alias("goal_gap"), gap("days_rest").alias("rest_gap"), *(F.lit(0.0).alias(c) for c in ("h2h_points_gap", "h2h_goal_gap", "context_gap")))
-    return rating.small_sample_rule(rows).select("match_id", *(F.round(c, 6).alias(c) for c in ("p_home", "p_draw", "p_away")))
+    return rating.small_sample_rule(rows).select("match_id", *(F.round(c, 9).alias(c) for c in ("p_home", "p_draw", "p_away")))
