@@ -135,6 +135,15 @@ def test_repeated_passages_go_and_others_stay(spark):
     assert {(r.doc_id, r.first, r.last, r.source_id, r.cluster_id) for r in rows} == {(k, 40, 110, 0, 0) for k in (1, 2, 3)}
 
 
+def test_passage_held_twice_goes_twice_wherever_the_rows_lie(spark):
+    passage = words(70, 99)
+    twice = f"{words(40, 401)} {passage} {words(60, 402)} {passage} {words(40, 403)}"
+    docs = frame(spark, [f"{words(40, 404)} {passage}", twice])
+    for parts in (docs.coalesce(1), docs.where("doc_id = 0").coalesce(1).union(docs.where("doc_id = 1").coalesce(1))):
+        got = {(r.doc_id, r.first, r.last) for r in passages.removals(parts).collect()}
+        assert got == {(1, 40, 110), (1, 170, 240)}
+
+
 def test_personal_data_against_plain_patterns():
     r = random.Random(6)
     for _ in range(3000):
