@@ -144,6 +144,15 @@ def test_passage_held_twice_goes_twice_wherever_the_rows_lie(spark):
         assert got == {(1, 40, 110), (1, 170, 240)}
 
 
+def test_passages_that_the_smallest_holder_has_in_part_go(spark):
+    texts = []
+    for k in range(8):
+        passage = words(51, 500 + k).split()
+        texts += [f"{words(40, 600 + k)} {' '.join(passage[:45])} {words(40, 700 + k)}", *(f"{words(40, n + k)} {' '.join(passage)} {words(40, n + 50 + k)}" for n in (800, 900))]
+    got = {(r.doc_id, r.first, r.last, r.source_id) for r in passages.removals(frame(spark, texts)).collect()}
+    assert got == {(3 * k + 2, 40, 91, 3 * k + 1) for k in range(8)}
+
+
 def test_personal_data_against_plain_patterns():
     r = random.Random(6)
     for _ in range(3000):
