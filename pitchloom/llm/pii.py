@@ -33,12 +33,15 @@ WIDE = 0xFEE0
 
 CHARACTERS = {x[0]: x[1] for x in LOOKALIKES.split()} | {chr(c + WIDE): chr(c) for c in range(33, 127)} | dict.fromkeys(INVISIBLE, "") | {"　": " "}
 ODD = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
-AT_DOT = re.compile(r"[ ]?[\[({<][ ]?(?:(at|AT|At)|(?:dot|DOT|Dot))[ ]?[\])}>][ ]?")
-SPOKEN = re.compile(r"\b([A-Za-z0-9._%+-]+)( at )([A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)+)\b", re.IGNORECASE)
+SIGN = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?", re.IGNORECASE)
+#: Spelled at and dot are signs in the form of an address only: local part, at, labels with a dot; and between four numbers.
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-] dot )[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*?( at |@)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)+", re.IGNORECASE)
 SPOKEN_DOT = re.compile(" dot ", re.IGNORECASE)
+SPOKEN_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:(?: dot |\.)[0-9]++){3}", re.IGNORECASE)
 DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"\b{DIGIT}(?:[ ,-]{{1,2}}{DIGIT}){{6,}}\b", re.IGNORECASE)
-SPELLED_DIGIT = re.compile(DIGIT, re.IGNORECASE)
+#: Digit words beside each other, digits and dots: seven digits at least, or the four numbers of an address.
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGIT}(?![A-Za-z])|[0-9]++)(?:(?: dot |[ ().,-]{{0,3}})(?:(?<![A-Za-z]){DIGIT}(?![A-Za-z])|[0-9]++))+", re.IGNORECASE)
+SPELLED_DIGIT = re.compile(rf"{DIGIT}|[0-9]+", re.IGNORECASE)
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -107,27 +110,49 @@ class Rewritten:
             self.text, self.start, self.end = "".join(text), [*start, *self.start[done:]], [*end, *self.end[done:]]
 
 
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Changes that make digits of spelled ones; what stands between two digits goes if one of them is spelled, but for dots."""
+    places = []
+    for m in SPELLED.finditer(text):
+        found = list(SPELLED_DIGIT.finditer(text, *m.span()))
+        words = [not d.group()[0].isdigit() for d in found]
+        between = [text[x.end() : y.start()] for x, y in zip(found, found[1:])]
+        dots = sum(b.lower() in (".", " dot ") for b in between)
+        if not any(words) or dots != 3 and sum(1 if w else len(d.group()) for w, d in zip(words, found)) < 7:
+            continue
+        if sum(words) < 3 and plain(text[max(0, m.start() - 1) : m.end()]):
+            continue  # "+1 555 123 4567 one more time": the number is whole without the word
+        for k, (d, w) in enumerate(zip(found, words)):
+            gap = between[k - 1] if k else ""
+            if gap.lower() == " dot ":
+                places.append((d.start() - len(gap), d.start(), "."))
+            if gap and gap.lower() not in (".", " dot ") and (w or words[k - 1]) and not set(gap) & set("()"):
+                places.append((d.start() - len(gap), d.end(), str(DIGIT_WORDS.index(d.group().lower())) if w else d.group()))
+            elif w:
+                places.append((*d.span(), str(DIGIT_WORDS.index(d.group().lower()))))
+    return places
+
+
 def normalised(text: str) -> Rewritten | None:
     """The text after all transducers; None if none of them has anything to do."""
     out, plain_text = Rewritten(text), text
     if not text.isascii():
         out.rewrite((m.start(), m.end(), CHARACTERS[m.group()]) for m in ODD.finditer(out.text))
     low = out.text.lower()
-    if "at" in low and "dot" in low or "@" in low:
-        out.rewrite((m.start(), m.end(), "@" if m.group(1) else ".") for m in AT_DOT.finditer(out.text))
-    if " dot " in low and " at " in low:
-        places = []
-        for m in SPOKEN.finditer(out.text):
-            places += [(*m.span(2), "@"), *((m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in SPOKEN_DOT.finditer(m.group(3)))]
-        out.rewrite(iter(places))
+    if any(c in low for c in "[({<") and ("at" in low or "dot" in low or "@" in low or "." in low):
+        out.rewrite((m.start(), m.end(), "@" if m.group(1) else ".") for m in SIGN.finditer(out.text))
+        low = out.text.lower()
     if sum(w in low for w in DIGIT_WORDS):
+        out.rewrite(iter(spelled(out.text)))
+        low = out.text.lower()
+    if " at " in low or "@" in low and " dot " in low:
         places = []
-        for m in SPELLED.finditer(out.text):
-            found = [(m.start() + d.start(), m.start() + d.end(), str(DIGIT_WORDS.index(d.group().lower()))) for d in SPELLED_DIGIT.finditer(m.group())]
-            places += found[:1]
-            for before, here in zip(found, found[1:]):
-                places.append((before[1], here[1], here[2]))
+        for m in SPOKEN.finditer(out.text):
+            places += [(*d.span(), ".") for d in SPOKEN_DOT.finditer(out.text, m.start(), m.start(1))]
+            places += [(*m.span(1), "@"), *((*d.span(), ".") for d in SPOKEN_DOT.finditer(out.text, m.end(1), m.end()))]
         out.rewrite(iter(places))
+    if " dot " in low:
+        out.rewrite((*d.span(), ".") for m in SPOKEN_IP.finditer(out.text) for d in SPOKEN_DOT.finditer(out.text, *m.span()))
     return out if out.text != plain_text else None
 
 

@@ -184,6 +184,29 @@ def test_disguised_personal_data(text, span):
     assert span in pii.detect(text)[1]
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [("192[dot]168[dot]0[dot]7", "ip"), ("192 dot 168 dot 0 dot 7", "ip"), ("192[.]168[.]0[.]7", "ip"), ("one nine two dot 168 dot 0 dot seven", "ip"), ("joe (at) example dot com", "email"), ("joe@example dot com", "email")]
+    + [("joe at example.com", "email"), ("joe[@]example[.]com", "email"), ("joe dot doe at example dot com", "email"), ("+1 five five five 123 4567", "phone"), ("+1 (555) one two three 4567", "phone")],
+)
+def test_mixed_disguises(text, kind):
+    assert (kind, 6, 6 + len(text)) in pii.detect(f"see,  {text}; and")[1]
+
+
+@pytest.mark.parametrize("text", ["we met at noon. Then", "look at this.", "a dot b dot c", "two dot three", "one two three", "f(at) x", "in 2001 one of 3000 came", "see (at) home"])
+def test_words_that_are_no_disguise(text):
+    assert pii.detect(text)[1] == []
+
+
+def test_words_after_a_whole_number_stay():
+    assert pii.mask("call +1 555 123 4567 one more time") == "call [PHONE] one more time"
+
+
+def test_long_disguises_stay_linear():
+    for run in ("a dot ", "one ", "1 one ", "[at] ", "a at b dot "):
+        pii.detect(run * 30_000 + " @ at ")
+
+
 def test_long_runs_stay_linear():
     assert pii.detect("a" * 300_000 + "1" * 300_000)[0] == []
 
