@@ -3,8 +3,8 @@
 Patterns find assignments, access keys and hexadecimal strings. Candidate strings (long runs of key characters) are then scanned
 with a window of WINDOW characters: the window's sum of c * log2(c) over its character counts c is carried along, each step taking out the
 character that leaves and putting in the one that comes. The entropy log2(WINDOW) - sum / WINDOW is held against the limit of the
-window's character class, and the stretch that all windows over the limit cover is a span of kind entropy. Candidates that look like listed
-harmless strings are passed over. Entropy spans that touch a pattern's span are not added.
+window's character class, and the stretch that all windows over the limit cover is a span of kind entropy. Candidates that are paths of plain words are
+passed over, and so are parts of candidates (between = and /) that hold listed harmless strings; what lies between those is scanned. Entropy spans that touch a pattern's span are not added.
 
 Offsets are code points, end exclusive. Defined results: null or empty text: no spans. Repeated rows: each by itself. Empty table: empty result.
 Extra columns are ignored.
@@ -28,8 +28,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least entropy in bits a character of a window, by the class of its characters; a window of only letters in one case or of digits is never a secret.
 LIMITS = {"hex": 3.0, "mixed": 3.6}
-#: Harmless candidates: placeholders, paths of plain words, repeated units.
-ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|lorem|xxxx|0000|1234567|abcdef|(?:^|[/_-])(?:[a-z]+[/_-])+[a-z]*$"
+#: Harmless parts (between = and /) of a candidate: placeholders, repeated units.
+ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|lorem|xxxx|0000|1234567|abcdef"
+#: Harmless candidates: paths of plain words from end to end.
+PATH = r"(?i)^[/_-]?(?:[a-z]+[/_-])+[a-z]*$"
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -94,12 +96,27 @@ def scan_windows(chars: Column) -> Column:
     return F.aggregate(steps, start, step, lambda state: F.struct(state["s"].alias("s"), state["e"].alias("e")))
 
 
+def segments(word: Column) -> Column:
+    """array<struct<s, e>> of the stretches of a candidate that hold no harmless part and are long enough for a window."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    closed = lambda done, end: F.when(end - done["s"] >= WINDOW, F.concat(done["out"], F.array(F.struct(done["s"].alias("s"), end.alias("e"))))).otherwise(done["out"])
+
+    def step(done: Column, part: Column) -> Column:
+        after, harmless = done["at"] + F.length(part) + 1, part.rlike(ALLOWED)
+        return F.struct(after.alias("at"), F.when(harmless, after).otherwise(done["s"]).alias("s"), F.when(harmless, closed(done, done["at"] - 1)).otherwise(done["out"]).alias("out"))
+
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(word).alias("e")))
+    parts = F.aggregate(F.split(word, "[=/]", -1), F.struct(F.lit(0).alias("at"), F.lit(0).alias("s"), none.alias("out")), step, lambda done: closed(done, done["at"] - 1))
+    return F.when(word.rlike(PATH), none).when(word.rlike(ALLOWED), parts).otherwise(whole)
+
+
 def entropy_spans(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     places = spans_of(text, "entropy", CANDIDATE, 0, WINDOW)
-    both = F.transform(words, lambda w, i: F.struct(F.get(places, i).alias("at"), F.when(~w.rlike(ALLOWED), high_entropy(w)).alias("part")))
+    cuts = F.transform(words, lambda w, i: F.transform(segments(w), lambda x: F.struct((F.get(places, i)["s"] + x["s"]).alias("at"), F.substring(w, x["s"] + 1, x["e"] - x["s"]).alias("word"))))
+    both = F.transform(F.flatten(cuts), lambda x: F.struct(x["at"].alias("at"), high_entropy(x["word"]).alias("part")))
     good = F.filter(both, lambda x: x["part"]["s"].isNotNull())
-    return F.transform(good, lambda x: F.struct(F.lit("entropy").alias("kind"), F.lit(KINDS.index("entropy")).alias("rank"), (x["at"]["s"] + x["part"]["s"]).alias("s"), (x["at"]["s"] + x["part"]["e"]).alias("e")))
+    return F.transform(good, lambda x: F.struct(F.lit("entropy").alias("kind"), F.lit(KINDS.index("entropy")).alias("rank"), (x["at"] + x["part"]["s"]).alias("s"), (x["at"] + x["part"]["e"]).alias("e")))
 
 
 def joined(spans: Column) -> Column:

@@ -229,6 +229,17 @@ def test_secrets_against_patterns(spark):
     assert [x.spans for x in found] == ["entropy:4:27", "", ""]
 
 
+def test_secrets_beside_harmless_parts(spark):
+    key = "q9Zx7Lm2Kp4Rt8Vw3Yb6-Nc_pQ"
+    texts = [key, f"sample_key={key}", f"/example/app/{key}", f"see {key}/example/{key}", "/usr/share/plain_words/of-a/path", "/example/dummy/0000/sample/abcdef"]
+    found = [x.spans.split(",") for x in secret_scan.scanned(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert [len(x) for x in found[:4]] == [1, 1, 1, 2] and found[4:] == [[""], [""]]
+    for text, spans in zip(texts[:4], found):
+        for x in spans:
+            _, s, e = x.split(":")
+            assert key[:20] in text[int(s) : int(e)] and "sample" not in text[int(s) : int(e)] and "example" not in text[int(s) : int(e)]
+
+
 def test_prefix_counts_against_library():
     from tokenizers import Tokenizer
 
