@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .features import team_rows
@@ -16,29 +19,41 @@ GRID = 8
 
 
 def elo(played: DataFrame, newest_first: bool = False) -> DataFrame:
-    """match_id with both ratings before and after it. A rating depends on both teams' history, so each competition is one group (its matches in order)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("at", "descending" if newest_first else "ascending"), ("match_id", "ascending")])
-        rating: dict[int, float] = {}
-        rows = []
-        for home, away, code in zip(*(table.column(c).to_pylist() for c in ("home_team_id", "away_team_id", "result_code")), strict=True):
-            h, a = rating.get(home, BASE), rating.get(away, BASE)
-            change = STEP * ({"1": 1.0, "2": 0.0}.get(code, 0.5) - 1 / (1 + 10 ** ((a - h - HOME_EDGE) / 400)))
-            rating[home], rating[away] = h + change, a - change
-            rows.append((h, a, h + change, a - change))
-        columns = list(zip(*rows, strict=True))
-        return pa.table({"match_id": table.column("match_id"), **{n: pa.array(c, pa.float64()) for n, c in zip(("home_before", "away_before", "home_after", "away_after"), columns, strict=True)}})
+    """match_id with both ratings before and after it. A rating depends on both teams' history, so a competition's matches pass through one task in order.
+
+    They are sorted outside Python (the sort spills) and come in batches; only the teams' ratings are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rating = None, None
+        for batch in batches:
+            rows = []
+            for competition, match, home, away, code in zip(*(batch.column(c).to_pylist() for c in ("competition_id", "match_id", "home_team_id", "away_team_id", "result_code")), strict=True):
+                if rating is None or competition != current:
+                    current, rating = competition, {}
+                h, a = rating.get(home, BASE), rating.get(away, BASE)
+                change = STEP * ({"1": 1.0, "2": 0.0}.get(code, 0.5) - 1 / (1 + 10 ** ((a - h - HOME_EDGE) / 400)))
+                rating[home], rating[away] = h + change, a - change
+                rows.append((match, h, a, h + change, a - change))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.float64()] * 4), strict=True)], ["match_id", "home_before", "away_before", "home_after", "away_after"])
 
     rows = played.select("competition_id", "match_id", F.unix_seconds("kickoff_at").alias("at"), "home_team_id", "away_team_id", "result_code")
-    return rows.groupBy("competition_id").applyInArrow(run, "match_id long, home_before double, away_before double, home_after double, away_after double")
+    at = F.col("at").desc_nulls_last() if newest_first else F.col("at").asc_nulls_last()
+    rows = rows.repartition("competition_id").sortWithinPartitions("competition_id", at, "match_id")
+    return rows.mapInArrow(run, "match_id long, home_before double, away_before double, home_after double, away_after double")
 
 
 def moving_strength(played: DataFrame) -> DataFrame:
-    """team_id, offense, defense: moving averages (old + 1 + goals / 4) / 2 from 1 over a team's matches in order. They need no other team's state."""
-    rows = team_rows(played).groupBy("team_id").agg(F.sort_array(F.collect_list(F.struct("kickoff_at", "match_id", "goals_for", "goals_against"))).alias("rows"))
-    fold = lambda c: F.aggregate("rows", F.lit(1.0), lambda old, x: (old + 1.0 + x[c] / 4.0) / 2.0)
-    return rows.select("team_id", F.round(fold("goals_for"), 9).alias("offense"), F.round(fold("goals_against"), 9).alias("defense"))
+    """team_id, offense, defense: moving averages (old + 1 + goals / 4) / 2 from 1 over a team's matches in order. They need no other team's state.
+
+    The k-th newest of n matches weighs 2^-k and the start 2^-n, so they are sums and no team's matches are collected.
+    """
+    w = W.partitionBy("team_id").orderBy(*(F.desc(c) for c in ("kickoff_at", "match_id", "goals_for", "goals_against")))
+    rows = team_rows(played).withColumn("k", F.row_number().over(w))
+    half = lambda k: F.pow(F.lit(0.5), k)
+    average = lambda c: F.round(F.sum((1.0 + F.col(c) / 4.0) * half(F.col("k"))) + half(F.max("k")), 9)
+    return rows.groupBy("team_id").agg(average("goals_for").alias("offense"), average("goals_against").alias("defense"))
 
 
 def team_profiles(played: DataFrame) -> DataFrame:

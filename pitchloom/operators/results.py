@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,14 +62,24 @@ def merged_status(canonical_rows: DataFrame, live_rows: DataFrame) -> DataFrame:
 def without_repeats(played: DataFrame, hours: int = 48) -> DataFrame:
     """Greedy removal of repeats (G01): newest first, a row goes if a kept row of the same competition, teams and score lies within `hours`.
 
-    The rows of one fixture and score are few; they are folded in order, each against the kept ones.
+    Rows of one fixture and score pass through one task in order (sorted outside Python, in batches). The nearest kept row is the last one kept, so no other is held.
     """
     key = ["competition_id", "home_team_id", "away_team_id", "home_goals", "away_goals"]
-    at = F.unix_seconds("kickoff_at")
-    rows = played.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "match_id")), asc=False).alias("rows"))
-    none = F.array().cast("array<struct<at:bigint,match_id:bigint>>")
-    kept = F.aggregate("rows", none, lambda done, x: F.when(F.exists(done, lambda y: F.abs(y["at"] - x["at"]) <= hours * 3600), done).otherwise(F.concat(done, F.array(x))))
-    return rows.select(*key, F.explode(kept).alias("r")).select("r.match_id", *key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            keep = []
+            for *own, at in zip(*(batch.column(c).to_pylist() for c in (*key, "at")), strict=True):
+                if own != current:
+                    current, last = own, None
+                keep.append(last is None or last - at > hours * 3600)
+                last = at if keep[-1] else last
+            yield batch.select(["match_id", *key]).filter(pa.array(keep, pa.bool_()))
+
+    rows = played.select("match_id", *key, F.unix_seconds("kickoff_at").alias("at"))
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, F.desc("at"), F.desc("match_id"))
+    return ordered.mapInArrow(run, rows.drop("at").schema)
 
 
 def scored_slates(predictions: DataFrame, canonical_rows: DataFrame) -> DataFrame:

@@ -101,3 +101,33 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_one_hot_key_is_folded_in_batches(spark):
+    """All matches of two teams with one score: no plan collects a key's rows, and state goes on from batch to batch."""
+    from datetime import datetime, timedelta
+
+    from pitchloom.operators import rating, results
+
+    t = datetime(2024, 1, 1)
+    n = 500
+    rows = [(i, 1, 2, 3, t + timedelta(hours=20 * i), 1, 0, "1") for i in range(n)]
+    df = spark.createDataFrame(rows, "match_id long, competition_id long, home_team_id long, away_team_id long, kickoff_at timestamp, home_goals long, away_goals long, result_code string").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {f: f(df) for f in (rating.elo, rating.moving_strength, results.without_repeats)}
+        got = {f: d.collect() for f, d in found.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for d in found.values():
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "FlatMapGroups" not in plan
+    h, a, want = 1500.0, 1500.0, {}
+    for i in range(n):
+        d = 24 * (1 - 1 / (1 + 10 ** ((a - h - 75) / 400)))
+        h, a = h + d, a - d
+        want[i] = (h, a)
+    assert len(got[rating.elo]) == n and all((r.home_after, r.away_after) == pytest.approx(want[r.match_id]) for r in got[rating.elo])
+    assert {r.team_id: (r.offense, r.defense) for r in got[rating.moving_strength]} == {2: (1.25, 1.0), 3: (1.0, 1.25)}
+    assert {r.match_id for r in got[results.without_repeats]} == set(range(n - 1, -1, -3))
