@@ -23,10 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only if the session names none and runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -54,10 +57,10 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 21) -> Itera
         yield batch.slice(a, b - a)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict[str, pa.Array]]], added: str, keep: list[str], text: str = "text", drop_text: bool = True) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict[str, pa.Array]]], added: str, keep: list[str], text: str = "text", most_bytes: int = 1 << 21) -> DataFrame:
     """df's columns `keep` and what make()'s function finds in each text (one value a row for each column of the DDL string `added`).
 
-    make runs once in each task, so that tables are built or loaded where they are used.
+    make runs once in each task, so that tables are built or loaded where they are used; its function gets about most_bytes of text at once.
     """
     found = T.StructType.fromDDL(added)
     kept = [df.schema[c] for c in keep]
@@ -67,7 +70,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", most_bytes):
                 got = work(text_bytes(part.column("__text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(f"__k{i}") for i in range(len(keep))), *(got[n] for n in names)], names=[*keep, *names])
 

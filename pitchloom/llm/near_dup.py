@@ -4,14 +4,15 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased; words are run
 the whole sequence is its one shingle. Two documents are linked if 100 * |intersection| >= 75 * |union|. Shingles are compared
 as 64-bit hashes of hashed words.
 
-Equal sets are first collapsed to their smallest doc_id. Documents that share a bucket of any band, directly or through others, form a
-family; links lie within families. Families are dealt into groups of bounded size; each group's intersections are counted exactly and it
-yields a spanning forest of its links, so no pairs are emitted. In a family of several groups, members outside its largest component are
-then compared with all other groups, block by block. So every link between two members of a family counts, whatever its size. With 32
-bands of 4 values a pair of similarity 0.75 shares no bucket with probability 5e-6 (and may still be of one family).
-
-Defined results: null, empty or wordless text: n_shingles 0, own component, kept. Ties: the smallest doc_id. Repeated rows (same doc_id): both
-are returned and share a component. Null doc_id: kept, in no component. Empty table: empty result. Extra columns are ignored by `components_of` and kept by `deduplicated`.
+Equal sets are first collapsed to their smallest doc_id. Each bucket of a band then names its smallest member as its hub, and documents that share a
+bucket with a hub make the hub's group. Groups are dealt into parts of bounded size, each with a copy of the hub, and all intersections within a part are counted
+exactly; a part yields a spanning forest of its links, so no pairs are emitted. A group of one part is done with that. In a group of several parts, members that the links so far join to
+the hub are joined to each other; the others are compared with the members of all other parts by their signatures (one byte a slot, in blocks), and pairs whose
+agreement is within five standard deviations of the limit are verified exactly like bucket mates. So every link between two documents that share a bucket counts, however large it is. With 32
+bands of 4 values a pair of similarity 0.75 shares no bucket with probability 5e-6.
+
+Defined results: null, empty or wordless text: n_shingles 0, own component, kept. Ties: the smallest doc_id. Repeated rows (same doc_id): all
+are returned and share a component; if their texts differ, the doc_id is linked by each of them. Null doc_id: kept, in no component. Empty table: empty result. Extra columns are ignored by `components_of` and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, longs, map_texts, nested, shingle_sets, text_bytes
+from .common import cut, longs, map_texts, mix, nested, shingle_sets, text_bytes
 from .components import connected_components, forest
 from .minhash import band_keys, superminhash
 
 SLOTS, BANDS, ROWS = 128, 32, 4
-#: Most members and shingles of a group; a longer document is a group of its own.
-GROUP_MEMBERS, GROUP_SHINGLES = 500, 250_000
+#: About how many members and bytes of text a part of a group has.
+PART_MEMBERS, PART_BYTES = 400, 1 << 21
+#: Slots that agree in pairs worth verifying: 128 * 0.75 less five standard deviations.
+AGREE = 71
 COLUMNS = 2048
+#: Bytes of text that are hashed at once: each shingle holds its own shuffle of the slots.
+AT_ONCE = 1 << 19
 
 
 def sketch(texts: list[bytes]) -> dict:
@@ -38,10 +43,13 @@ def sketch(texts: list[bytes]) -> dict:
     np.cumsum([len(s) for s in sets], out=starts[1:])
     signature = superminhash(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), starts, SLOTS)
     keys = band_keys(signature, BANDS, ROWS).view(np.int64)
+    marks = np.ascontiguousarray(mix(signature).astype(np.uint8))
     return {
+        "n_bytes": longs([len(t) for t in texts]),
         "n_shingles": longs([len(s) for s in sets]),
         "set_id": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
         "bands": nested(keys.reshape(-1), [BANDS] * len(sets), pa.int64()),
+        "marks": pa.array([m.tobytes() for m in marks], pa.binary()),
     }
 
 
@@ -77,56 +85,93 @@ def spanning(ids: list[int], x: list[int], y: list[int], sets: list[np.ndarray])
     return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
 
 
-def within_group(table: pa.Table) -> pa.Table:
+def within_part(table: pa.Table) -> pa.Table:
     sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
     everyone = list(range(len(sets)))
     return spanning(table.column("rid").to_pylist(), everyone, everyone, sets)
 
 
-def between_blocks(table: pa.Table) -> pa.Table:
-    sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
-    left = table.column("left").to_pylist()
-    x, y = ([i for i, side in enumerate(left) if side == want] for want in (True, False))
-    return spanning(table.column("rid").to_pylist(), x, y, sets)
+def alike(table: pa.Table) -> pa.Table:
+    """Pairs of a stray and a member of another part and component that may be linked, by sizes and signatures."""
+    left = table.column("stray").to_numpy(zero_copy_only=False)
+    ids, sizes, known = (table.column(c).to_numpy() for c in ("rid", "n_shingles", "c"))
+    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    found = []
+    for i in x.tolist():
+        fits = y[(known[y] != known[i]) & (100 * np.minimum(sizes[y], sizes[i]) >= 75 * np.maximum(sizes[y], sizes[i]))]
+        fits = fits[(marks[fits] == marks[i]).sum(axis=1) >= AGREE]
+        found.append(np.stack([np.full(len(fits), ids[i]), ids[fits]], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"rid": longs(np.maximum(pairs[:, 0], pairs[:, 1])), "hub": longs(np.minimum(pairs[:, 0], pairs[:, 1]))})
+
+
+def dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, hub, part and parts of each member of a hub's group, from pairs (rid, hub); the hub itself is in every part."""
+    pairs = cut(pairs.join(sets.select("rid", "n_bytes"), "rid"))
+    parts = cut(pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_MEMBERS), F.ceil(F.sum("n_bytes") / PART_BYTES)).alias("parts")))
+    members = pairs.join(parts, "hub").select("rid", "hub", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("part"), "parts")
+    hubs = parts.select(F.col("hub").alias("rid"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "parts")
+    return cut(members.unionByName(hubs))
+
+
+def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b within the parts. Texts are dealt by id at any size: each goes to the parts that it is in."""
+    texts = docs.select(F.col("doc_id").alias("rid"), "text")
+    both = members.select("rid", "hub", "part").hint("merge").join(texts, "rid")
+    return cut(both.groupBy("hub", "part").applyInArrow(within_part, "a long, b long"))
+
+
+def strays(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (rid, hub) that may be linked, of groups of several parts: members not yet joined to the hub against those of other parts."""
+    own = members.where("parts > 1 and rid <> hub").join(sets.select("rid", "n_shingles", "marks"), "rid")
+    own = own.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
+    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
+    own = cut(own.join(hubs, "hub", "left").withColumn("stray", F.col("c") != F.coalesce("hub_c", "hub")).drop("hub_c"))
+    counts = cut(own.where("stray").groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART_MEMBERS).alias("blocks")))
+    rows = own.join(counts, "hub").withColumnRenamed("part", "own")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["hub", "part", "block", "rid", "n_shingles", "marks", "c", "stray"]
+    x = rows.where("stray").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("part", upto("parts")).where("part <> own").select(*columns)
+    y = rows.withColumn("part", F.col("own")).withColumn("block", upto("blocks")).withColumn("stray", F.lit(False)).select(*columns)
+    return cut(x.unionByName(y).groupBy("hub", "part", "block").applyInArrow(alike, "rid long, hub long").distinct())
+
+
+def repeated_ids(sketches: DataFrame, first: DataFrame) -> DataFrame:
+    """Links between the sets of a doc_id that has several texts."""
+    several = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rows = sketches.select("doc_id", "set_id").join(several, "doc_id").join(first.select("set_id", "rid"), "set_id").select("doc_id", "rid").distinct()
+    low = rows.groupBy("doc_id").agg(F.min("rid").alias("low"))
+    return rows.join(low, "doc_id").where("rid <> low").select("rid", "low")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
-    sketches = cut(map_texts(docs, lambda: sketch, "n_shingles long, set_id binary, bands array<long>", ["doc_id"]))
-    copies = cut(sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rid"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set_id", "rid"))
-    named = sketches.join(copies, "set_id", "left").select("doc_id", "n_shingles", "bands", F.coalesce("rid", "doc_id").alias("rid"))
-
-    rows = named.where("doc_id = rid and n_shingles > 0").select("rid", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub <> other").select("key", "hub")
-    families = connected_components(rows.join(hubs, "key").where("rid <> hub").select("rid", "hub").distinct())
-    families = families.select(F.col("node").alias("rid"), F.col("component").alias("family"))
-    texts = docs.select(F.col("doc_id").alias("rid"), "text").join(families, "rid").dropDuplicates(["rid"])
-    texts = texts.join(named.where("doc_id = rid").select("rid", "n_shingles").dropDuplicates(["rid"]), "rid")
-    sizes = texts.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).alias("groups"))
-    members = cut(texts.join(sizes, "family").select("rid", "text", "family", "groups", F.pmod(F.xxhash64("rid"), "groups").alias("g")))
-    links = cut(members.groupBy("family", "g").applyInArrow(within_group, "a long, b long"))
-    found = connected_components(links)
-
-    large = members.where("groups > 1").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid"))
-    if not large.isEmpty():
-        most = large.groupBy("family", "c").count().groupBy("family").agg(F.max_by("c", F.struct("count", "c")).alias("most"))
-        large = cut(large.join(most, "family").select("rid", "text", "family", "groups", "g", (F.col("c") == F.col("most")).alias("inside")))
-        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
-        # a block: outsiders of group i against all of group j; pairs of outsiders once
-        x = large.where("not inside").select("rid", "text", "family", F.col("g").alias("i"), blocks.alias("j"), F.lit(True).alias("left")).where("i <> j")
-        y = large.select("rid", "text", "family", blocks.alias("i"), F.col("g").alias("j"), F.lit(False).alias("left"), "inside").where("i <> j and (inside or i < j)").drop("inside")
-        more = cut(x.unionByName(y).groupBy("family", "i", "j").applyInArrow(between_blocks, "a long, b long"))
+    columns = "n_bytes long, n_shingles long, set_id binary, bands array<long>, marks binary"
+    sketches = cut(map_texts(docs, lambda: sketch, columns, ["doc_id"], most_bytes=AT_ONCE).withColumn("row", F.monotonically_increasing_id()))
+    least = F.min(F.struct("doc_id", "row")).alias("r")
+    first = cut(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(least).select("set_id", F.col("r.doc_id").alias("rid"), "r.row"))
+    sets = cut(sketches.join(first.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rid"), "n_bytes", "n_shingles", "bands", "marks"))
+
+    rows = sets.select("rid", F.explode("bands").alias("key"))
+    hubs = cut(rows.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub <> other").select("key", "hub"))
+    members = dealt(rows.join(hubs, "key").where("rid <> hub").select("rid", "hub").distinct(), sets)
+    found = connected_components(verified(members, docs).union(repeated_ids(sketches, first)))
+    if not members.where("parts > 1").isEmpty():
+        more = strays(members, found, sets)
         if not more.isEmpty():
-            found = connected_components(found.select("component", "node").union(more))
-    final = named.select("doc_id", "n_shingles", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left")
-    component = F.coalesce("component", "rid")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            found = connected_components(found.union(verified(dealt(more, sets), docs)))
+    named = cut(first.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("set_id", F.coalesce("component", "rid").alias("component")))
+    final = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    final = final.select("doc_id", "n_shingles", component.alias("component_id"))
+    return final.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the documents that are not the smallest of their component."""
     gone = components_of(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

@@ -107,7 +107,7 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
                 other[r.randrange(80)] = "X"
             texts.append(" ".join(other))
     texts += ["a b", "A B", "a b c", "", None]
-    monkeypatch.setattr(near_dup, "GROUP_MEMBERS", 4)  # several groups a family
+    monkeypatch.setattr(near_dup, "PART_MEMBERS", 3)  # several parts a group
     got = {x.doc_id: x.component_id for x in near_dup.components_of(frame(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
