@@ -7,8 +7,8 @@ as 64-bit hashes of hashed words.
 Equal sets are first collapsed to their smallest doc_id. Each bucket of a band then names its smallest member as its hub, and documents that share a
 bucket with a hub make the hub's group. Groups are dealt into parts of bounded size, each with a copy of the hub, and all intersections within a part are counted
 exactly; a part yields a spanning forest of its links, so no pairs are emitted. A group of one part is done with that. In a group of several parts, members that the links so far join to
-the hub are joined to each other; the others are compared with the members of all other parts by their signatures (one byte a slot, in blocks), and pairs whose
-agreement is within five standard deviations of the limit are verified exactly like bucket mates. So every link between two documents that share a bucket counts, however large it is. With 32
+the hub are joined to each other; the others are held against the members of all other parts by their signatures (one byte a slot, in blocks), which tells the blocks and the members that may hold
+links (an agreement within five standard deviations of the limit); those are then counted exactly as well. So every link between two documents that share a bucket counts, however large it is. With 32
 bands of 4 values a pair of similarity 0.75 shares no bucket with probability 5e-6.
 
 Defined results: null, empty or wordless text: n_shingles 0, own component, kept. Ties: the smallest doc_id. Repeated rows (same doc_id): all
@@ -29,7 +29,7 @@ from .minhash import band_keys, superminhash
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 #: About how many members and bytes of text a part of a group has.
-PART_MEMBERS, PART_BYTES = 400, 1 << 21
+PART_MEMBERS, PART_BYTES = 250, 1 << 21
 #: Slots that agree in pairs worth verifying: 128 * 0.75 less five standard deviations.
 AGREE = 71
 COLUMNS = 2048
@@ -91,19 +91,27 @@ def within_part(table: pa.Table) -> pa.Table:
     return spanning(table.column("rid").to_pylist(), everyone, everyone, sets)
 
 
-def alike(table: pa.Table) -> pa.Table:
-    """Pairs of a stray and a member of another part and component that may be linked, by sizes and signatures."""
-    left = table.column("stray").to_numpy(zero_copy_only=False)
+def across_parts(table: pa.Table) -> pa.Table:
+    sets = shingle_sets([t.lower() for t in text_bytes(table.column("text"))])
+    stray = table.column("stray").to_pylist()
+    x, y = ([i for i, s in enumerate(stray) if s == want] for want in (True, False))
+    return spanning(table.column("rid").to_pylist(), x, y, sets)
+
+
+def alike(key: tuple, table: pa.Table) -> pa.Table:
+    """The strays and the members of another part of a block that may be linked over components, by sizes and signatures: one row each."""
+    stray = table.column("stray").to_numpy(zero_copy_only=False)
     ids, sizes, known = (table.column(c).to_numpy() for c in ("rid", "n_shingles", "c"))
     marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
-    x, y = np.flatnonzero(left), np.flatnonzero(~left)
-    found = []
+    x, y = np.flatnonzero(stray), np.flatnonzero(~stray)
+    found = np.zeros(len(ids), dtype=bool)
     for i in x.tolist():
         fits = y[(known[y] != known[i]) & (100 * np.minimum(sizes[y], sizes[i]) >= 75 * np.maximum(sizes[y], sizes[i]))]
         fits = fits[(marks[fits] == marks[i]).sum(axis=1) >= AGREE]
-        found.append(np.stack([np.full(len(fits), ids[i]), ids[fits]], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"rid": longs(np.maximum(pairs[:, 0], pairs[:, 1])), "hub": longs(np.minimum(pairs[:, 0], pairs[:, 1]))})
+        found[fits] = True
+        found[i] = len(fits) > 0
+    own = {n: longs(np.full(int(found.sum()), k.as_py())) for n, k in zip(("hub", "part", "block"), key, strict=True)}
+    return pa.table(own | {"rid": longs(ids[found]), "stray": pa.array(stray[found], pa.bool_())})
 
 
 def dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -115,15 +123,8 @@ def dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(members.unionByName(hubs))
 
 
-def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links a, b within the parts. Texts are dealt by id at any size: each goes to the parts that it is in."""
-    texts = docs.select(F.col("doc_id").alias("rid"), "text")
-    both = members.select("rid", "hub", "part").hint("merge").join(texts, "rid")
-    return cut(both.groupBy("hub", "part").applyInArrow(within_part, "a long, b long"))
-
-
 def strays(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (rid, hub) that may be linked, of groups of several parts: members not yet joined to the hub against those of other parts."""
+    """hub, part, block, rid, stray: what is to be compared beyond the parts. Members of groups of several parts that are not yet joined to the hub (strays, in blocks) meet those of other parts."""
     own = members.where("parts > 1 and rid <> hub").join(sets.select("rid", "n_shingles", "marks"), "rid")
     own = own.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
     hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("hub_c"))
@@ -134,7 +135,7 @@ def strays(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     columns = ["hub", "part", "block", "rid", "n_shingles", "marks", "c", "stray"]
     x = rows.where("stray").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("part", upto("parts")).where("part <> own").select(*columns)
     y = rows.withColumn("part", F.col("own")).withColumn("block", upto("blocks")).withColumn("stray", F.lit(False)).select(*columns)
-    return cut(x.unionByName(y).groupBy("hub", "part", "block").applyInArrow(alike, "rid long, hub long").distinct())
+    return cut(x.unionByName(y).groupBy("hub", "part", "block").applyInArrow(alike, "hub long, part long, block long, rid long, stray boolean"))
 
 
 def repeated_ids(sketches: DataFrame, first: DataFrame) -> DataFrame:
@@ -156,11 +157,15 @@ def components_of(docs: DataFrame) -> DataFrame:
     rows = sets.select("rid", F.explode("bands").alias("key"))
     hubs = cut(rows.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other")).where("hub <> other").select("key", "hub"))
     members = dealt(rows.join(hubs, "key").where("rid <> hub").select("rid", "hub").distinct(), sets)
-    found = connected_components(verified(members, docs).union(repeated_ids(sketches, first)))
+    texts = docs.select(F.col("doc_id").alias("rid"), "text")
+    held = cut(members.hint("merge").join(texts, "rid"))  # texts are dealt by id at any size: each goes to the parts that it is in
+    links = cut(held.groupBy("hub", "part").applyInArrow(within_part, "a long, b long"))
+    found = connected_components(links.union(repeated_ids(sketches, first)))
     if not members.where("parts > 1").isEmpty():
-        more = strays(members, found, sets)
-        if not more.isEmpty():
-            found = connected_components(found.union(verified(dealt(more, sets), docs)))
+        meet = strays(members, found, sets)
+        mates = held.where("parts > 1 and rid <> hub").select("hub", "rid", "text")
+        more = meet.join(mates, ["hub", "rid"]).groupBy("hub", "part", "block").applyInArrow(across_parts, "a long, b long")
+        found = connected_components(found.union(cut(more)))
     named = cut(first.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("set_id", F.coalesce("component", "rid").alias("component")))
     final = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

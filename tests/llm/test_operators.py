@@ -278,7 +278,7 @@ def test_webp_round_trips():
         kinds = [t for t in r.permutation(4).tolist() if r.random() < 0.5]
         if webp.PALETTE in kinds and (len(np.unique(image.reshape(-1, 4), axis=0)) > 256 or kinds[0] != webp.PALETTE):
             kinds.remove(webp.PALETTE)
-        data = webp.write_file(image, tuple(kinds), int(r.integers(2, 4)), bool(k % 2), int(r.choice([0, 1, 4, 11])))
+        data = webp.write_file(image, tuple(kinds), int(r.integers(2, 4)), 3 * (k % 2), int(r.choice([0, 1, 4, 11])))
         assert (webp.read_file(data) == image).all()
     for text in (b"", b"x", bytes(range(256)) * 9, b"a" * 5000):
         payload = webp.payload_of(text)
