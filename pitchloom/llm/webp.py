@@ -1,9 +1,11 @@
 """Operator 8: media columns in lossless WebP.
 
-A text's UTF-8, filled up with bytes 255 to a multiple of WIDTH, becomes the rows of a grey image WIDTH samples wide, which is stored as a lossless WebP file
-(several, one after another, if it has more than MOST_ROWS rows) and read back. The reader takes any file of the format: prefix codes (simple and normal, one
-group or several), back-references, colour cache, and the inverse predictor, cross-colour, subtract-green and palette transforms.
-Without a colour cache and with one group of codes, code lengths are looked up at every bit position at once, and a
+A text's UTF-8, filled up with bytes 255 to a multiple of ROW_BYTES, becomes the samples of an image, which is stored as a lossless WebP file (several, one after another, if it
+has more than MOST_ROWS rows) and read back. The form follows the content: samples of at most 16 values are grey pixels with a palette, which packs two to eight of them into
+one; texts whose groups of three samples come four times or more on average are RGB pixels with a colour cache; others are grey pixels whose red and blue are what subtract-green
+leaves. All have back-references to equal stretches before. The reader takes any file of
+the format: prefix codes (simple and normal, one group or several), back-references, colour cache, and the inverse predictor, cross-colour, subtract-green and
+palette transforms. With one group of codes, code lengths are looked up at every bit position at once, and a
 walk over them finds the pixels; other files are read pixel by pixel.
 
 Defined results: null or empty text: one row of 255. Equal texts give equal files. Repeated rows: stored each. Empty table: empty result. Extra
@@ -13,7 +15,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Callable
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import longs, map_texts, strings
 
-WIDTH, MOST_ROWS = 576, 16384
+ROW_BYTES, MOST_ROWS = 576, 16384
 #: Fixed values of the format: the order in which lengths of the code-length code come, and the near pixels (dx, dy) of short distance codes.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 NEAR = """0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 3,3 -3,3
@@ -36,21 +37,23 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Alphabets of the five codes of a group, without the colour cache: green with lengths, red, blue, alpha, distance.
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
+#: Least bytes of a back-reference that the writer makes, and most pixels.
+LEAST_BYTES, MOST_COPIED = 9, 4096
 
 
 # ---- prefix codes
 
 
-def canonical(lengths: np.ndarray) -> tuple[np.ndarray, int]:
-    """Code of each symbol, first bit lowest, and the greatest length."""
-    most = int(lengths.max(initial=0))
-    codes, code = np.zeros(len(lengths), dtype=np.int64), 0
-    for size in range(1, most + 1):
-        for s in np.flatnonzero(lengths == size).tolist():
-            codes[s] = int(f"{code:0{size}b}"[::-1], 2)
-            code += 1
-        code <<= 1
-    return codes, most
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Code of each symbol, first bit lowest."""
+    codes = np.zeros(len(lengths), dtype=np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used):
+        most = int(lengths.max())
+        order = used[np.argsort(lengths[used], kind="stable")]
+        spread = 1 << (most - lengths[order])
+        codes[order] = reversal(most)[np.cumsum(spread) - spread]
+    return codes
 
 
 REVERSED: dict[int, np.ndarray] = {}
@@ -66,48 +69,60 @@ def reversal(bits: int) -> np.ndarray:
     return REVERSED[bits]
 
 
+NOTHING = np.zeros(1, dtype=np.int64)
+
+
 class Code:
     """A prefix code as tables over its next `bits` bits: the symbol and its length (0: the only symbol)."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) < 2:
-            self.bits = 0
-            self.symbol, self.length = np.array([used[0] if len(used) else 0]), np.array([0])
+            self.bits, self.symbol, self.length = 0, used if len(used) else NOTHING, NOTHING
             return
+        lengths = lengths[used]
         self.bits = int(lengths.max())
-        order = used[np.argsort(lengths[used], kind="stable")]
-        spread = 1 << (self.bits - lengths[order])
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
+        spread = 1 << (self.bits - lengths)
         assert spread.sum() == 1 << self.bits, "not a full prefix code"
         at = reversal(self.bits)
-        self.symbol, self.length = np.repeat(order, spread)[at], np.repeat(lengths[order], spread)[at]
+        self.symbol, self.length = np.repeat(used[order], spread)[at], np.repeat(lengths, spread)[at]
+
+
+NONE = 1 << 60  # more than any weight
 
 
 def huffman(counts: np.ndarray, most: int) -> np.ndarray:
-    """Code lengths of at most `most` bits; a lone symbol gets one bit."""
-    counts = counts.astype(np.int64)
+    """Code lengths of at most `most` bits; a lone symbol gets one bit. Leaves and joined nodes are two queues, each in order of weight."""
     lengths = np.zeros(len(counts), dtype=np.int64)
-    used = np.flatnonzero(counts).tolist()
+    used = np.flatnonzero(counts)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
+    counts = counts[used]
     while True:
-        heap = [(int(counts[s]), s) for s in used]
-        heapq.heapify(heap)
-        parent, n = {}, len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = n
-            heapq.heappush(heap, (a[0] + b[0], n))
-            n += 1
-        depth = {n - 1: 0}
-        for node in range(n - 2, -1, -1):
-            if node in parent:
-                depth[node] = depth[parent[node]] + 1
-        lengths[used] = [depth[s] for s in used]
-        if lengths.max() <= most:
+        order, n = np.argsort(counts, kind="stable"), len(used)
+        leaf, node, parent = [*counts[order].tolist(), NONE], [], [0] * (2 * n - 1)
+        i = j = 0
+        for k in range(n, 2 * n - 1):  # node[m] has number n + m
+            node.append(NONE)
+            if leaf[i] <= node[j]:
+                total, parent[i], i = leaf[i], k, i + 1
+            else:
+                total, parent[n + j], j = node[j], k, j + 1
+            if leaf[i] <= node[j]:
+                total, parent[i], i = total + leaf[i], k, i + 1
+            else:
+                total, parent[n + j], j = total + node[j], k, j + 1
+            node[-1] = total
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth) <= most:
+            lengths[used[order]] = depth[:n]
             return lengths
-        counts = np.where(counts > 0, counts // 2 + 1, 0)
+        counts = counts // 2 + 1
 
 
 # ---- reading
@@ -143,27 +158,41 @@ def read_code(bits: Bits, size: int) -> Code:
     lengths = np.zeros(size, dtype=np.int64)
     if bits.read(1):
         two = bits.read(1)
+        if not two:
+            lone = Code(NOTHING)
+            lone.symbol = np.array([bits.read(8 if bits.read(1) else 1)])
+            return lone
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        lengths[bits.read(8)] = 1
         return Code(lengths)
     first = np.zeros(19, dtype=np.int64)
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         first[k] = bits.read(3)
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    k, before = 0, 8
+    symbol, length, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+    a, used = bits.at >> 3, bits.at & 7
+    window = int.from_bytes(bits.data[a : a + 2 * size], "little") >> used  # 14 bits a length at most
+    start, found, before, k = bits.at, [0] * (size + 138), 8, 0
     while k < size and left:
         left -= 1
-        s = bits.symbol(code)
+        s, n = symbol[window & mask], length[window & mask]
+        window >>= n
+        start += n
         if s < 16:
-            lengths[k] = s
-            k, before = k + 1, s or before
-        else:
-            times = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            lengths[k : k + times] = before if s == 16 else 0
-            k += times
-    return Code(lengths)
+            if s:
+                found[k] = before = s
+            k += 1
+            continue
+        n, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        times = least + (window & ((1 << n) - 1))
+        window >>= n
+        start += n
+        if s == 16:
+            found[k : k + times] = [before] * times
+        k += times
+    bits.at = start
+    return Code(np.array(found[:size], dtype=np.int64))
 
 
 def far(code: int, width: int) -> int:
@@ -184,8 +213,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = int(groups_of.max()) + 1
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
     groups = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
-    if not cache_bits and n_groups == 1:
-        return read_fast(bits, width, width * height, groups[0])
+    if n_groups == 1:
+        return read_fast(bits, width, width * height, groups[0], cache_bits)
     out = [0] * (width * height)
     cache, done, k = [0] * (1 << cache_bits), 0, 0
     across = -(-width >> block) if block else 1
@@ -211,65 +240,98 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def read_fast(bits: Bits, width: int, n: int, group: list[Code]) -> np.ndarray:
-    """Pixels of an image with one group of codes and no cache."""
+def read_fast(bits: Bits, width: int, n: int, group: list[Code], cache_bits: int) -> np.ndarray:
+    """Pixels of an image with one group of codes."""
     codes = group[:4]
-    out = np.zeros(n, dtype=np.uint32)
     if not any(c.bits for c in codes) and codes[0].symbol[0] < 256:
         green, red, blue, alpha = (int(c.symbol[0]) for c in codes)
-        out[:] = alpha << 24 | red << 16 | green << 8 | blue
-        return out
+        return np.full(n, alpha << 24 | red << 16 | green << 8 | blue, dtype=np.uint32)
     raw = np.frombuffer(bits.data[bits.at >> 3 :] + b"\0" * 16, dtype=np.uint8).astype(np.uint32)
     loaded = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
     window = (loaded[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # the bits from each place on; 15 are enough
-    places = len(window)
-    own = [c.length[window & ((1 << c.bits) - 1)] if c.bits else None for c in codes]
-    step = own[0] if own[0] is not None else np.zeros(places, dtype=np.int64)
-    for sizes in own[1:]:
-        if sizes is not None:
-            step = step + sizes[np.minimum(np.arange(places) + step, places - 1)]
-    green = codes[0].symbol[window & ((1 << codes[0].bits) - 1)]
-    special = green >= 256
-    if special.any():
-        step = np.where(special, 0, step)
-    steps, at, base = step.astype(np.uint8).tobytes(), bits.at & 7, bits.at & ~7
+    last = len(window) - 1
+    mask = np.uint32((1 << codes[0].bits) - 1)
+    special = codes[0].symbol >= 256
+    if not cache_bits and not any(c.bits for c in codes[1:]):  # a grey image
+        own = [None] * 4
+        steps = np.where(special, 0, codes[0].length).astype(np.uint8)[window & mask].tobytes()
+    else:
+        own = [c.length[window & ((1 << c.bits) - 1)] if c.bits else None for c in codes]
+        step = first = own[0] if own[0] is not None else np.zeros(len(window), dtype=np.int64)
+        for sizes in own[1:]:
+            if sizes is not None:
+                at = np.arange(len(window)) + step
+                step = step + sizes[np.minimum(at, last, out=at)]
+        if special.any():
+            green = codes[0].symbol[window & mask]
+            step = np.where(green < 256, step, np.where(green < ALPHABETS[0], 0, first))
+        steps = step.astype(np.uint8).tobytes()
+    at, base = bits.at & 7, bits.at & ~7
     found: list[int] = []
-    runs, copies, k = [], [], 0  # (first pixel, one after the last) of literals; (first pixel, length, distance) of copies
+    runs, copies, k = [], [], 0  # numbers of tokens up to a copy, and (length, distance) of the copy
     seen = found.append
     while k < n:
-        first = k
-        while k < n and (size := steps[at]):
+        before = len(found)
+        for _ in range(n - k):
+            size = steps[at]
+            if not size:
+                break
             seen(at)
             at += size
-            k += 1
-        runs.append((first, k))
+        k += len(found) - before
         if k < n:
             bits.at = base + at
-            length = bits.number(bits.symbol(codes[0]) - 256)
-            back = far(bits.number(bits.symbol(group[4])), width)
-            copies.append((k, min(length, n - k), back))
+            length = min(bits.number(bits.symbol(codes[0]) - 256), n - k)
+            copies.append((length, far(bits.number(bits.symbol(group[4])), width)))
             k += length
             at = bits.at - base
+        runs.append(len(found))
     bits.at = base + at
     at = np.array(found, dtype=np.int64)
-    value = np.zeros(len(at), dtype=np.uint32)
-    for c, sizes, shift in zip(codes, own, (8, 16, 0, 24), strict=True):
-        if sizes is None:
-            value |= np.uint32(int(c.symbol[0]) << shift)
-        else:
-            value |= c.symbol[window[at] & ((1 << c.bits) - 1)].astype(np.uint32) << np.uint32(shift)
-            at = at + sizes[at]
-    done = 0
-    for first, end in runs:
-        out[first:end] = value[done : done + end - first]
-        done += end - first
-    for k, length, back in copies:
+    token = codes[0].symbol[window[at] & mask]
+    value = (token.astype(np.uint32) & np.uint32(255)) << np.uint32(8)
+    for k, shift in ((1, 16), (2, 0), (3, 24)):
+        if own[k - 1] is not None:
+            at = np.minimum(at + own[k - 1][at], last)
+        value |= codes[k].symbol[window[at] & ((1 << codes[k].bits) - 1)].astype(np.uint32) << np.uint32(shift) if codes[k].bits else np.uint32(int(codes[k].symbol[0]) << shift)
+    if cache_bits:
+        return resolved(token, value, runs, copies, cache_bits)
+    out, done, k = np.zeros(n, dtype=np.uint32), 0, 0
+    for end, (length, back) in zip(runs, [*copies, (0, 1)]):
+        out[k : k + end - done] = value[done:end]
+        k, done = k + end - done, end
         for i in range(k, k + length, back):
             part = min(back, k + length - i)
             out[i : i + part] = out[i - back : i - back + part]
+        k += length
     return out
 
 
+def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (np.uint32(CACHE_FACTOR) * pixels) >> np.uint32(32 - cache_bits)
+
+
+def resolved(token: np.ndarray, value: np.ndarray, runs: list[int], copies: list[tuple[int, int]], cache_bits: int) -> np.ndarray:
+    """Pixels of literals, colour cache hits and copies; each pixel goes into the cache."""
+    hit = token >= ALPHABETS[0]
+    value, slot, hit = value.tolist(), np.where(hit, token - ALPHABETS[0], slots(value, cache_bits)).tolist(), hit.tolist()
+    cache, out, done = [0] * (1 << cache_bits), [], 0
+    add, shift = out.append, 32 - cache_bits
+    for end, (length, back) in zip(runs, [*copies, (0, 1)]):
+        for k in range(done, end):
+            if hit[k]:
+                add(cache[slot[k]])
+            else:
+                cache[slot[k]] = value[k]
+                add(value[k])
+        done = end
+        for _ in range(length):
+            p = out[-back]
+            cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+            add(p)
+    return np.array(out, dtype=np.uint32)
+
+
 # ---- transforms; images are arrays of rows, columns and the channels alpha, red, green, blue
 
 
@@ -336,9 +398,9 @@ def cross_colour(image: np.ndarray, elements: np.ndarray, block: int, inverse: b
     return out
 
 
-def subtract_green(image: np.ndarray, inverse: bool) -> np.ndarray:
-    out, sign = image.copy(), 1 if inverse else -1
-    out[..., 1::2] = (image[..., 1::2] + sign * image[..., 2:3]) & 0xFF
+def subtract_green(image: np.ndarray) -> np.ndarray:
+    out = image.copy()
+    out[..., 1::2] = (image[..., 1::2] - image[..., 2:3]) & 0xFF
     return out
 
 
@@ -347,8 +409,8 @@ def pack_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def read_file(data: bytes) -> np.ndarray:
-    """The image of a file as rows, columns and channels (alpha, red, green, blue)."""
+def read_pixels(data: bytes) -> tuple[np.ndarray, int]:
+    """The pixels of a file as unsigned 32-bit ARGB, row by row, and its width."""
     assert data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8L" and data[20] == 0x2F, "not a lossless WebP file"
     bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -364,101 +426,109 @@ def read_file(data: bytes) -> np.ndarray:
         elif kind == PALETTE:
             size = bits.read(8) + 1
             table = np.cumsum(channels(read_image(bits, size, 1, False), size)[0], axis=0) & 0xFF
-            todo.append((kind, (table, width)))
+            todo.append((kind, (pixels(table), width)))
             width = -(-width >> pack_bits(size))
         else:
             todo.append((kind, None))
-    image = channels(read_image(bits, width, height, True), width)
+    found = read_image(bits, width, height, True)
     for kind, own in reversed(todo):
-        if kind == PREDICTOR:
-            image = predict(image, *own, True)
-        elif kind == CROSS_COLOUR:
-            image = cross_colour(image, *own, True)
+        if kind == PALETTE:
+            table, across = own
+            each = 8 >> pack_bits(len(table))
+            index = (found >> 8 & 0xFF).reshape(height, -1)
+            if each < 8:
+                x = np.arange(across)
+                index = index[:, x * each // 8] >> (x * each % 8).astype(np.uint32) & ((1 << each) - 1)
+            found = np.concatenate([table, np.zeros(256, dtype=np.uint32)])[index.reshape(-1)]
+            width = across
         elif kind == SUBTRACT_GREEN:
-            image = subtract_green(image, True)
+            green = found >> 8 & np.uint32(255)
+            found = (found & np.uint32(0xFF00FF00)) | ((found & np.uint32(0xFF00FF)) + (green << np.uint32(16) | green) & np.uint32(0xFF00FF))
         else:
-            table, full = own
-            each = 8 >> pack_bits(len(table))
-            green, x = image[..., 2], np.arange(full)
-            index = green[:, x * each // 8] >> (x * each % 8) & ((1 << each) - 1) if each < 8 else green
-            image = np.vstack([table, np.zeros((256, 4), dtype=np.int64)])[index]
-    return image
+            found = pixels((predict if kind == PREDICTOR else cross_colour)(channels(found, width), *own, True))
+    return found, full
+
+
+def read_file(data: bytes) -> np.ndarray:
+    """The image of a file as rows, columns and channels (alpha, red, green, blue)."""
+    return channels(*read_pixels(data))
 
 
 # ---- writing
 
 
 class Writer:
+    """Bits from the lowest on."""
+
     def __init__(self):
-        self.parts: list[np.ndarray] = []
-        self.value = self.size = 0  # bits not yet among the parts
+        self.value = self.size = 0
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.size
         self.size += n
 
-    def flush(self) -> None:
-        raw = np.frombuffer(self.value.to_bytes(-(-self.size // 8), "little"), dtype=np.uint8)
-        self.parts.append(np.unpackbits(raw, count=self.size, bitorder="little"))
-        self.value = self.size = 0
-
     def write_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.flush()
+        """The values, sizes[i] bits (at most 32) each. Codes lie beside each other in 32-bit words, so sums of shifted values are exact."""
         ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
         starts = ends - sizes
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-        for k in range(int(sizes.max(initial=0))):
-            has = sizes > k
-            out[starts[has] + k] = values[has] >> k & 1
-        self.parts.append(out)
+        shifted = values.astype(np.uint64) << (starts & 31).astype(np.uint64)
+        word, n = starts >> 5, (total >> 5) + 2
+        words = np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n) + np.bincount(word + 1, (shifted >> np.uint64(32)).astype(np.float64), n)
+        self.write(int.from_bytes(words.astype("<u4").tobytes(), "little"), total)
 
     def data(self) -> bytes:
-        self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.value.to_bytes(-(-self.size // 8), "little")
 
 
 def write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a code for symbols with these counts; returns codes and lengths (0: nothing to write)."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
         out.write(1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
         for s in symbols:
             out.write(s, 8)
         lengths = np.zeros(len(counts), dtype=np.int64)
-        if len(symbols) == 2:
-            lengths[symbols] = 1
-        return canonical(lengths)[0], lengths
+        if len(symbols) == 1:
+            return lengths, lengths
+        lengths[symbols] = 1
+        return canonical(lengths), lengths
     if len(used) == 1:
         counts = counts.copy()
         counts[0] = 1
     lengths = huffman(counts, 15)
-    runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    k = 0
-    while k < len(lengths):
-        zeros = 0
-        while k + zeros < len(lengths) and not lengths[k + zeros] and zeros < 138:
-            zeros += 1
-        if zeros >= 3:
-            runs.append((17, zeros - 3, 3) if zeros < 11 else (18, zeros - 11, 7))
-            k += zeros
-        else:
-            runs.append((int(lengths[k]), 0, 0))
-            k += 1
-    seen = np.bincount([s for s, _, _ in runs], minlength=19)
+    used = np.flatnonzero(lengths)
+    gap = np.diff(used, prepend=-1) - 1
+    first = np.where(gap >= 3, -(-gap // 138), gap)  # tokens before each length: one for up to 138 zeros, or single zeros
+    ends = np.cumsum(first + 1)
+    tokens = int(ends[-1])  # the rest has no length
+    symbol, extra, size = (np.zeros(tokens, dtype=np.int64) for _ in range(3))
+    symbol[ends - 1] = lengths[used]
+    for at, n in zip((ends - 1 - first)[gap >= 3].tolist(), gap[gap >= 3].tolist()):
+        while n > 0:
+            few = min(n, 138) if not 138 < n < 141 else n - 3  # three at least are left over
+            symbol[at], extra[at], size[at] = (17, few - 3, 3) if few < 11 else (18, few - 11, 7)
+            n, at = n - few, at + 1
+    seen = np.bincount(symbol, minlength=19)
     if np.count_nonzero(seen) == 1:
         seen[0 if not seen[0] else 1] = 1
     own = huffman(seen, 7)
-    codes, _ = canonical(own)
     out.write(0, 1)
     out.write(15, 4)
-    for s in LENGTH_ORDER:
-        out.write(int(own[s]), 3)
-    out.write(0, 1)
-    for s, extra, n in runs:
-        out.write(int(codes[s]), int(own[s]))
-        out.write(extra, n)
-    return canonical(lengths)[0], lengths
+    out.write(sum(n << 3 * k for k, n in enumerate(own[LENGTH_ORDER].tolist())), 57)
+    if used[-1] + 1 < len(lengths) and tokens >= 2:
+        n = max(1, -(-(tokens - 2).bit_length() // 2))
+        out.write(1 | (n - 1) << 1, 4)
+        out.write(tokens - 2, 2 * n)
+    else:
+        pad = len(lengths) - int(used[-1]) - 1
+        out.write(0, 1)
+        assert not pad or tokens < 2
+        symbol = np.concatenate([symbol, np.zeros(pad, dtype=np.int64)])
+        extra, size = (np.concatenate([x, np.zeros(pad, dtype=np.int64)]) for x in (extra, size))
+    out.write_all(np.stack([canonical(own)[symbol], extra], axis=1).reshape(-1), np.stack([own[symbol], size], axis=1).reshape(-1))
+    return canonical(lengths), lengths
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -471,52 +541,97 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v - ((2 + second) << (high - 1)), high - 1
 
 
-def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies: bool = False, cache_bits: int = 0) -> None:
-    """image: ARGB pixels. copies: writes runs of a repeated pixel or row as back-references; cache_bits: uses a colour cache."""
+def repeats(image: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches of `least` pixels or more that stand before, greedily from the left: where so many pixels last stood, as far as they go on."""
+    n = len(image)
+    if n < least + 1:
+        return []
+    wide = image.astype(np.uint64)
+    key = wide[: n - least + 1] * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(1, least):
+        key = (key ^ wide[k : n - least + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    by_place = np.argsort(at)
+    out, done, data = [], 0, image.tobytes()
+    for i, j in zip(at[by_place].tolist(), before[by_place].tolist()):
+        if i < done:
+            continue
+        length, piece = 0, 16
+        while length < MOST_COPIED:  # in pieces that grow while they are equal
+            a, b = data[4 * (i + length) : 4 * (i + length + piece)], data[4 * (j + length) : 4 * (j + length) + min(4 * piece, len(data) - 4 * (i + length))]
+            if a != b:
+                length += int(np.argmax(image[i + length : i + length + piece] != image[j + length : j + length + len(a) // 4]))
+                break
+            length += len(a) // 4
+            if len(a) < 4 * piece:
+                break
+            piece *= 2
+        length = min(length, MOST_COPIED, n - i)
+        if length >= least:
+            out.append((i, length, i - j))
+            done = i + length
+    return out
+
+
+def distance_code(back: int, width: int) -> int:
+    return next((k + 1 for k, (dx, dy) in enumerate(DISTANCES) if dx + dy * width == back), back + len(DISTANCES)) if back == 1 or abs(back - round(back / width) * width) <= 8 and back <= 8 * width + 8 else back + len(DISTANCES)
+
+
+def cache_hits(image: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each pixel, and whether the last pixel of that slot is the same."""
+    slot = slots(image, cache_bits).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(image), dtype=bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (image[order[1:]] == image[order[:-1]])
+    return slot, hit
+
+
+def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies: int = 0, cache_bits: int = 0) -> None:
+    """image: ARGB pixels. copies: writes stretches of so many pixels or more that stand before as back-references; cache_bits: uses a colour cache."""
     out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
     if main:
         out.write(0, 1)
-    if not copies and not cache_bits:
-        green, red, blue, alpha = (image >> s & 0xFF for s in (8, 16, 0, 24))
-        codes = [write_code(out, np.bincount(x, minlength=n)) for x, n in zip((green, red, blue, alpha), ALPHABETS[:4], strict=True)]
-        write_code(out, np.zeros(ALPHABETS[4], dtype=np.int64))
-        wide = [(c[x], n[x]) for (c, n), x in zip(codes, (green, red, blue, alpha), strict=True) if n.any()]
-        if wide:
-            out.write_all(*(np.stack(x, axis=1).reshape(-1) for x in zip(*wide, strict=True)))
-        return
-    tokens: list[list[tuple[int, int, int, int]]] = []  # (code number, symbol, extra value, extra bits)
-    p, k, cache = image.tolist(), 0, {}
-    while k < len(p):
-        best, back = 0, 0
-        for d in {1, width} if copies else ():
-            n = 0
-            while k >= d and k + n < len(p) and n < 4096 and p[k + n] == p[k + n - d]:
-                n += 1
-            best, back = (n, d) if n > best else (best, back)
-        slot = (CACHE_FACTOR * p[k] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if best >= 3:
-            code = next((i + 1 for i, (dx, dy) in enumerate(DISTANCES) if max(1, dx + dy * width) == back), back + len(DISTANCES))
-            (s, e, n), (ds, de, dn) = prefix_of(best), prefix_of(code)
-            tokens.append([(0, 256 + s, e, n), (4, ds, de, dn)])
-        elif cache_bits and cache.get(slot) == p[k]:
-            tokens.append([(0, ALPHABETS[0] + slot, 0, 0)])
-        else:
-            tokens.append([(c, p[k] >> s & 0xFF, 0, 0) for c, s in enumerate((8, 16, 0, 24))])
-        for x in p[k : k + max(1, best if best >= 3 else 1)]:
-            if cache_bits:
-                cache[(CACHE_FACTOR * x & 0xFFFFFFFF) >> (32 - cache_bits)] = x
-            k += 1
-    flat = [t for token in tokens for t in token]
-    codes = []
-    for c, size in enumerate(ALPHABETS):
-        size += (1 << cache_bits) if cache_bits and not c else 0
-        codes.append(write_code(out, np.bincount([s for i, s, _, _ in flat if i == c], minlength=size)))
-    for c, s, extra, n in flat:
-        out.write(int(codes[c][0][s]), int(codes[c][1][s]))
-        out.write(extra, n)
-
-
-def write_file(image: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, copies: bool = False, cache_bits: int = 0) -> bytes:
+    stays = np.ones(len(image), dtype=bool)
+    back = repeats(image, copies) if copies else []
+    for i, length, _ in back:
+        stays[i : i + length] = False
+    place = np.flatnonzero(stays)
+    plain = image[place]
+    channel = [(plain >> s & 0xFF).astype(np.int64) for s in (8, 16, 0, 24)]  # green, red, blue, alpha
+    literal = np.ones(len(place), dtype=bool)
+    token = channel[0].copy()
+    if cache_bits:
+        slot, hit = cache_hits(image, cache_bits)
+        literal = ~hit[place]
+        token[~literal] = ALPHABETS[0] + slot[place][~literal]
+    lengths = [prefix_of(n) for _, n, _ in back]
+    distances = [prefix_of(distance_code(d, width)) for _, _, d in back]
+    size = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
+    codes = [write_code(out, np.bincount(np.concatenate([token, np.array([256 + s for s, _, _ in lengths], dtype=np.int64)]), minlength=size))]
+    for x, n in zip(channel[1:], ALPHABETS[1:4], strict=True):
+        codes.append(write_code(out, np.bincount(x[:1] if (x == x[0]).all() else x[literal], minlength=n)))
+    codes.append(write_code(out, np.bincount(np.array([s for s, _, _ in distances], dtype=np.int64), minlength=ALPHABETS[4])))
+    shown = [k for k in range(4) if codes[k][1].any()]
+    value, bits = np.zeros((len(place), 4 if back else len(shown)), dtype=np.int64), np.zeros((len(place), 4 if back else len(shown)), dtype=np.int64)
+    for column, k in enumerate(shown):
+        value[:, column] = codes[k][0][channel[k] if k else token]
+        bits[:, column] = np.where(literal, codes[k][1][channel[k]], 0) if k else codes[k][1][token]
+    if back:
+        more, sizes = [], []
+        for (s, e, n), (ds, de, dn) in zip(lengths, distances, strict=True):
+            more.append((codes[0][0][256 + s], e, codes[4][0][ds], de))
+            sizes.append((codes[0][1][256 + s], n, codes[4][1][ds], dn))
+        order = np.argsort(np.concatenate([place, [i for i, _, _ in back]]), kind="stable")
+        value, bits = np.concatenate([value, np.array(more)])[order], np.concatenate([bits, np.array(sizes)])[order]
+    for k in range(0, len(value), 1 << 16):  # bounds the bits held apart
+        some, size = value[k : k + (1 << 16)].reshape(-1), bits[k : k + (1 << 16)].reshape(-1)
+        has = size > 0
+        out.write_all(some[has], size[has])
+
+
+def write_file(image: np.ndarray, transforms: tuple[int, ...] = (), block: int = 2, copies: int = 0, cache_bits: int = 0) -> bytes:
     """A file of an image of rows, columns and channels; transforms are applied in the order given."""
     height, width = image.shape[:2]
     out = Writer()
@@ -538,58 +653,81 @@ def write_file(image: np.ndarray, transforms: tuple[int, ...] = (), block: int =
             write_image(out, pixels(elements), across, False)
             image = cross_colour(image, elements, block, False)
         elif kind == SUBTRACT_GREEN:
-            image = subtract_green(image, False)
+            image = subtract_green(image)
         else:
-            table, index = np.unique(image.reshape(-1, 4), axis=0, return_inverse=True)
-            assert len(table) <= 256, "too many colours for a palette"
-            out.write(len(table) - 1, 8)
-            write_image(out, pixels(np.diff(table, axis=0, prepend=0) & 0xFF), len(table), False)
-            each = 8 >> pack_bits(len(table))
-            packed = np.zeros((height, -(-width >> pack_bits(len(table))), 4), dtype=np.int64)
-            packed[..., 0] = 255
-            index, x = index.reshape(height, width), np.arange(width)
-            for k in range(8 // each):
-                own = x[x % (8 // each) == k]
-                packed[:, own * each // 8, 2] |= index[:, own] << (k * each)
-            image, width = packed, packed.shape[1]
+            packed, width = indexed(out, pixels(image), width)
+            image = channels(packed, width)
     out.write(0, 1)
     write_image(out, pixels(image), width, True, copies, cache_bits)
-    body = b"\x2f" + out.data()
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    return wrapped(out)
 
 
 # ---- texts
 
 
 def payload_of(text: bytes) -> bytes:
-    return text + b"\xff" * (-len(text) % WIDTH if text else WIDTH)
+    return text + b"\xff" * (-len(text) % ROW_BYTES if text else ROW_BYTES)
 
 
 def stored(payload: bytes) -> bytes:
-    """The payload as grey images, one after another: the green channel holds the samples, red and blue are what subtract-green leaves of them."""
-    samples = np.frombuffer(payload, dtype=np.uint8)
-    files = []
-    for k in range(0, len(samples), WIDTH * MOST_ROWS):
-        part = samples[k : k + WIDTH * MOST_ROWS]
-        out = Writer()
-        out.write(WIDTH - 1, 14)
-        out.write(len(part) // WIDTH - 1, 14)
-        out.write(0, 4)
+    """The payload as images, one after another."""
+    most = ROW_BYTES * MOST_ROWS
+    return b"".join(write_samples(np.frombuffer(payload[k : k + most], dtype=np.uint8)) for k in range(0, len(payload), most))
+
+
+def write_samples(samples: np.ndarray) -> bytes:
+    wide, out, cache_bits, copies = samples.astype(np.uint32), Writer(), 0, LEAST_BYTES
+    height, width = len(samples) // ROW_BYTES, ROW_BYTES
+    few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
+    if not few:
+        three = wide[::3] << 16 | wide[1::3] << 8 | wide[2::3]
+        ordered = np.sort(three)
+        distinct = 1 + np.count_nonzero(ordered[1:] != ordered[:-1])
+        if 4 * distinct <= len(three):
+            cache_bits, width, copies = min(10, int(distinct).bit_length()), ROW_BYTES // 3, LEAST_BYTES // 3
+    image = np.uint32(0xFF000000) | (three if cache_bits else wide << 8)
+    out.write(width - 1, 14)
+    out.write(height - 1, 14)
+    out.write(0, 4)
+    if few:
+        out.write(1 | PALETTE << 1, 3)
+        image, width = indexed(out, image, width)
+    elif not cache_bits:
         out.write(1 | SUBTRACT_GREEN << 1, 3)
-        out.write(0, 1)
-        write_image(out, 0xFF000000 | part.astype(np.uint32) << 8, WIDTH, True)
-        body = b"\x2f" + out.data()
-        chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-        files.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
-    return b"".join(files)
+    out.write(0, 1)
+    write_image(out, image, width, True, copies, cache_bits)
+    return wrapped(out)
+
+
+def wrapped(out: Writer) -> bytes:
+    body = b"\x2f" + out.data()
+    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+
+
+def indexed(out: Writer, image: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Writes the palette of ARGB pixels; returns the pixels that hold the packed numbers of colours, and their width."""
+    table, index = np.unique(image, return_inverse=True)
+    assert len(table) <= 256, "too many colours for a palette"
+    out.write(len(table) - 1, 8)
+    write_image(out, pixels(np.diff(channels(table, len(table))[0], axis=0, prepend=0) & 0xFF), len(table), False)
+    each = 8 >> pack_bits(len(table))
+    index, x = index.reshape(-1, width), np.arange(width)
+    packed = np.zeros((len(index), -(-width >> pack_bits(len(table)))), dtype=np.uint32)
+    for k in range(8 // each):
+        own = x[x % (8 // each) == k]
+        packed[:, own * each // 8] |= (index[:, own] << (k * each)).astype(np.uint32)
+    return (np.uint32(0xFF000000) | packed << 8).reshape(-1), packed.shape[1]
 
 
 def read_back(media: bytes) -> bytes:
+    """The samples of images: all three colours of an RGB one, one of a grey one."""
     out, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        out.append(read_file(media[at : at + size])[..., 2].astype(np.uint8).tobytes())
+        found, width = read_pixels(media[at : at + size])
+        bytes_ = found.astype(">u4").view(np.uint8).reshape(-1, 4)
+        out.append(bytes_[:, 2].tobytes() if width == ROW_BYTES else bytes_[:, 1:].tobytes())
         at += size
     return b"".join(out)
 
@@ -598,7 +736,7 @@ def feature(payload: bytes) -> str:
     """rows, least, greatest, distinct samples and mean of the samples."""
     counts = np.bincount(np.frombuffer(payload, dtype=np.uint8), minlength=256)
     seen = np.flatnonzero(counts)
-    return f"{len(payload) // WIDTH}:{seen[0]}:{seen[-1]}:{len(seen)}:{(counts * np.arange(256)).sum() / len(payload):.4f}"
+    return f"{len(payload) // ROW_BYTES}:{seen[0]}:{seen[-1]}:{len(seen)}:{(counts * np.arange(256)).sum() / len(payload):.4f}"
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
