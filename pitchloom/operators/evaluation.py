@@ -118,13 +118,13 @@ def psi(baseline: DataFrame, sample: DataFrame, column: str, bins: int = 10) ->
 
 def temperature(rows: DataFrame, low: float = 0.5, high: float = 12.0, step: float = 0.01) -> DataFrame:
     """The temperature of the grid with the least cross-entropy, ties: the smallest (I31, I32). Equal vectors with an equal result are counted first."""
-    groups = rows.groupBy(*(F.round(c, 4).alias(c) for c in CLASSES.values()), "result_code").agg(F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy(*CLASSES.values(), "result_code").agg(F.count(F.lit(1)).alias("n"))
     steps = round((high - low) / step)
-    grid = groups.sparkSession.range(steps + 1).select((F.lit(low) + F.col("id") * step).alias("t"))
+    each = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")).withColumn("t", F.lit(low) + F.col("i") * step)
     logs = {k: F.log(F.greatest(F.col(c), F.lit(1e-9))) / F.col("t") for k, c in CLASSES.items()}
     own = F.when(F.col("result_code") == "1", logs["1"]).when(F.col("result_code") == "X", logs["X"]).otherwise(logs["2"])
     loss = F.log(sum(F.exp(x) for x in logs.values())) - own
-    by = groups.join(F.broadcast(grid)).groupBy("t").agg((F.sum(F.col("n") * loss) / F.sum("n")).alias("loss"))
+    by = each.groupBy("t").agg((F.sum(F.col("n") * loss) / F.sum("n")).alias("loss"))
     best = by.agg(F.min(F.struct(F.round("loss", 9).alias("loss"), F.col("t"))).alias("r"))
     return best.select(F.round("r.t", 2).alias("temperature"), F.round("r.loss", 6).alias("loss"))
 
@@ -153,37 +153,6 @@ def verdicts(rows: DataFrame, by: str, confident: float) -> DataFrame:
     return sums.select("*", F.round(hit, 6).alias("hit_rate"), F.round(own, 6).alias("confident_hit_rate"), verdict.alias("verdict"))
 
 
-def attribution(rows: DataFrame) -> DataFrame:
-    """Why a scored pick was right or wrong, by precedence (M01, the labels that need no review state)."""
-    close = F.col("top") - F.col("second") < 0.05
-    label = (
-        F.when(F.col("hit") & close, "lucky_hit").when(F.col("hit"), "correct").when(F.col("result_code") == "X", "missed_draw")
-        .when(close, "coin_flip").when(F.col("top") >= 0.6, "overconfident").when(F.col("own") >= F.col("second"), "second_choice").otherwise("upset")
-    )
-    return rows.select("match_id", "slate_id", "pick", "result_code", label.alias("error_type"))
-
-
-STRATEGIES = {"top1": (0, 0), "doubles2": (2, 0), "doubles4": (4, 0), "triples1": (0, 1), "doubles2_triples1": (2, 1), "doubles3_triples2": (3, 2), "triples3": (0, 3)}
-
-
-def strategies(rows: DataFrame, unit_cost: float = 15.0, payout: float = 1000.0) -> DataFrame:
-    """Cost, covered positions, perfect slates and return of each ticket strategy on each slate (M02 to M05): the closest positions get triples, the next ones doubles."""
-    w = W.partitionBy("slate_id").orderBy(F.round(F.col("top") - F.col("second"), 9), "position")
-    ranked = rows.select("slate_id", "position", F.row_number().over(w).alias("rank"), F.col("hit"), (F.col("own") >= F.col("second")).alias("in_two"))
-    plans = F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.lit(d).alias("d"), F.lit(t).alias("t")) for n, (d, t) in STRATEGIES.items())))
-    each = ranked.select("*", plans.alias("s")).select("slate_id", "s.*", "rank", "hit", "in_two")
-    covered = F.when(F.col("rank") <= F.col("t"), True).when(F.col("rank") <= F.col("t") + F.col("d"), F.col("in_two")).otherwise(F.col("hit"))
-    sums = each.groupBy("slate_id", "strategy", "d", "t").agg(F.count(F.lit(1)).alias("positions"), F.count_if(covered).alias("covered"))
-    cost = unit_cost * F.pow(F.lit(2.0), F.least("d", "positions")) * F.pow(F.lit(3.0), F.least("t", "positions"))
-    perfect = F.col("covered") == F.col("positions")
-    return sums.select("slate_id", "strategy", "positions", "covered", perfect.alias("perfect"), cost.alias("cost"), (F.when(perfect, payout).otherwise(0.0) - cost).alias("net"))
-
-
-def strategy_summary(per_slate: DataFrame) -> DataFrame:
-    """Over all slates."""
-    return per_slate.groupBy("strategy").agg(F.count(F.lit(1)).alias("slates"), F.count_if("perfect").alias("perfect"), F.sum("covered").alias("covered"), F.sum("cost").alias("cost"), F.sum("net").alias("net"), F.round(F.sum("net") / F.sum("cost"), 6).alias("roi"))
-
-
 def entropy(*p: Column) -> Column:
     """Shannon entropy over its greatest value."""
     floor = [F.greatest(x, F.lit(1e-9)) for x in p]

@@ -24,26 +24,28 @@ def team_rows(played: DataFrame) -> DataFrame:
     return rows.withColumn("points", points.cast("long"))
 
 
+def with_past(rows: DataFrame, key: list[str], values: list[str], last: int) -> DataFrame:
+    """rows with `past`: the last `last` rows of the key strictly before, oldest first, as structs of at (seconds), match_id and the values.
+
+    The last rows of each kickoff are laid together first; `last` kickoffs then hold at least `last` rows, so one bounded frame over kickoffs is enough and ties never see each other.
+    """
+    item = F.struct("at", "match_id", *values)
+    timed = rows.withColumn("at", F.unix_seconds("kickoff_at"))
+    rank = F.row_number().over(W.partitionBy(*key, "at").orderBy(F.desc("match_id")))
+    tails = timed.select(*key, "at", "match_id", *values).withColumn("rank", rank).where(F.col("rank") <= last).groupBy(*key, "at").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    before = F.flatten(F.collect_list("items").over(W.partitionBy(*key).orderBy("at").rowsBetween(-last, -1)))
+    past = tails.select(*key, "at", F.slice(before, F.greatest(F.lit(1), F.size(before) - last + 1), last).alias("past"))
+    return timed.join(past, [*key, "at"])
+
+
 def last_sums(rows: DataFrame, key: list[str], values: list[str], last: int, max_age_days: int | None) -> DataFrame:
     """rows with, for the last `last` rows of the key strictly before and at most max_age_days old: n, prior_at and the sums last_<value>."""
-    at = F.unix_seconds("kickoff_at")
-    ordered = W.partitionBy(*key).orderBy("at", "match_id")
-    timed = W.partitionBy(*key).orderBy("at")
-    oldest = W.unboundedPreceding if max_age_days is None else -max_age_days * DAY
-    numbered = rows.withColumn("at", at).select(
-        "*",
-        F.row_number().over(ordered).cast("long").alias("rank"),
-        F.count(F.lit(1)).over(timed.rangeBetween(W.unboundedPreceding, -1)).alias("before"),
-        F.least(F.lit(last).cast("long"), F.count(F.lit(1)).over(timed.rangeBetween(oldest, -1))).alias("n"),
-        F.max("kickoff_at").over(timed.rangeBetween(oldest, -1)).alias("prior_at"),
-        *(F.sum(v).over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias(f"run_{v}") for v in values),
-    )
-    sums = numbered.select(*key, F.col("rank"), *(F.col(f"run_{v}") for v in values))
-    until = sums.select(*key, F.col("rank").alias("before"), *(F.col(f"run_{v}").alias(f"until_{v}") for v in values))
-    since = sums.select(*key, F.col("rank").alias("first"), *(F.col(f"run_{v}").alias(f"since_{v}") for v in values))
-    found = numbered.withColumn("first", F.col("before") - F.col("n")).join(until, [*key, "before"], "left").join(since, [*key, "first"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return found.select(*rows.columns, "n", "prior_at", *((zero(f"until_{v}") - zero(f"since_{v}")).alias(f"last_{v}") for v in values))
+    found = with_past(rows, key, values, last)
+    if max_age_days is not None:
+        found = found.withColumn("past", F.expr(f"filter(past, x -> x.at >= at - {max_age_days * DAY})"))
+    total = lambda v: F.aggregate("past", F.lit(0).cast("long"), lambda t, x: t + x[v])
+    prior = F.timestamp_seconds(F.try_element_at("past", F.lit(-1))["at"])
+    return found.select(*rows.columns, F.size("past").cast("long").alias("n"), prior.alias("prior_at"), *(total(v).alias(f"last_{v}") for v in values))
 
 
 def per_match(total: str, n: str = "n") -> Column:
@@ -76,12 +78,42 @@ def head_to_head(played: DataFrame, last: int = 5) -> DataFrame:
     )
 
 
-def rolling_goals(played: DataFrame, spans: tuple[int, ...] = (5, 10), most_rest: float = 30.0) -> DataFrame:
-    """Per match and team: means of goals and points over the rows before it, and days of rest up to most_rest (E06, E07, I25). Ties in time count by match_id."""
-    w = W.partitionBy("team_id").orderBy("kickoff_at", "match_id")
-    means = [F.round(F.avg(c).over(w.rowsBetween(-k, -1)), 6).alias(f"{c}_{k}") for k in spans for c in ("goals_for", "goals_against", "points")]
-    rest = (F.unix_seconds("kickoff_at") - F.unix_seconds(F.lag("kickoff_at").over(w))) / DAY
-    return team_rows(played).select("match_id", "team_id", "is_home", *means, F.least(F.round(rest, 6), F.lit(most_rest)).alias("days_rest"))
+def rolling_goals(played: DataFrame, most_rest: float = 30.0) -> DataFrame:
+    """Per match and team: means of goals and points over the last 5 and 10 matches strictly before (0 where there is none), the competition's means over all its matches, and days of rest up to most_rest."""
+    found = with_past(team_rows(played), ["team_id"], ["goals_for", "goals_against", "points"], 10)
+
+    def mean(value: str, last: int) -> Column:
+        part = F.slice("past", F.greatest(F.lit(1), F.size("past") - last + 1), last)
+        return F.when(F.size("past") > 0, F.aggregate(part, F.lit(0.0), lambda t, x: t + x[value]) / F.size(part)).otherwise(F.lit(0.0))
+
+    rest = (F.col("at") - F.try_element_at("past", F.lit(-1))["at"]) / DAY
+    means = {f"rolling_goals_{side}_{k}": mean(f"goals_{side}", k) for k in (5, 10) for side in ("for", "against")} | {"points_per_match_10": mean("points", 10)}
+    base = played.groupBy("competition_id").agg(F.avg("home_goals").alias("home_mean"), F.avg("away_goals").alias("away_mean"))
+    rows = found.select("match_id", "team_id", "competition_id", F.col("is_home").cast("double").alias("home_indicator"), *(F.round(m, 6).alias(n) for n, m in means.items()), F.least(F.coalesce(F.round(rest, 6), F.lit(most_rest)), F.lit(most_rest)).alias("days_rest"))
+    with_base = rows.join(base, "competition_id")
+    return with_base.select("match_id", "team_id", "home_indicator", *means, F.round("home_mean", 6).alias("competition_baseline_home_goals"), F.round("away_mean", 6).alias("competition_baseline_away_goals"), "days_rest")
+
+
+def recent_results(played: DataFrame, last: int = 8) -> DataFrame:
+    """Per match and team: its last results strictly before, newest first."""
+    found = with_past(team_rows(played), ["team_id"], [], last)
+    return found.select("match_id", "team_id", F.posexplode(F.reverse("past")).alias("rank", "p")).select("match_id", "team_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("p.match_id").alias("past_match_id"), F.col("p.at").alias("played_seconds"))
+
+
+def meetings(played: DataFrame, last: int = 5) -> DataFrame:
+    """Per match: the last meetings of its two teams strictly before, newest first (C11)."""
+    rows = played.select("match_id", "kickoff_at", F.least("home_team_id", "away_team_id").alias("low"), F.greatest("home_team_id", "away_team_id").alias("high"))
+    found = with_past(rows, ["low", "high"], [], last)
+    return found.select("match_id", F.posexplode(F.reverse("past")).alias("rank", "p")).select("match_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("p.match_id").alias("past_match_id"), F.col("p.at").alias("played_seconds"))
+
+
+def context_results(played: DataFrame, per_team: int = 5) -> DataFrame:
+    """Per match: its teams' meetings and both teams' recent results, each once, meetings and newer ones first."""
+    both = meetings(played).select("match_id", "past_match_id", "played_seconds", F.lit(True).alias("is_h2h"))
+    both = both.unionByName(recent_results(played, per_team).select("match_id", "past_match_id", "played_seconds", F.lit(False).alias("is_h2h")))
+    once = both.groupBy("match_id", "past_match_id").agg(F.max("played_seconds").alias("played_seconds"), F.max("is_h2h").alias("is_h2h"))
+    order = W.partitionBy("match_id").orderBy(F.desc("is_h2h"), F.desc("played_seconds"), F.desc("past_match_id"))
+    return once.select("match_id", "past_match_id", "is_h2h", F.row_number().over(order).cast("long").alias("rank"))
 
 
 def cadence(matches: DataFrame, least_matches: int = 4) -> DataFrame:

@@ -36,17 +36,38 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, *(F.col(f"r.{c}").alias(c) for c in others))
 
 
+LIVE = ["match_id", "source_id"]
+
+
+def accepted(observations: DataFrame) -> DataFrame:
+    """Observations that change the state of their match and source: all finals, and others before the first final."""
+    final, at = F.col("status") == "full_time", F.struct("observed_at", "event_id")
+    first = F.min(F.when(final, at)).over(W.partitionBy(*LIVE))
+    return observations.withColumn("is_final", final).withColumn("first_final", first).where(F.col("is_final") | F.col("first_final").isNull() | (at < F.col("first_final"))).drop("first_final")
+
+
 def live_state(observations: DataFrame) -> DataFrame:
-    """What a match's observations leave behind (N01 as a batch): a final never regresses, otherwise the latest one counts, and known goals are kept."""
-    final = F.col("status") == "full_time"
+    """What the observations of a match by a source leave behind (N01 as a batch): a final is replaced by later finals only, and known goals and minutes are not blanked."""
     at = F.struct("observed_at", "event_id")
-    state = observations.groupBy("match_id").agg(
-        F.max(final).alias("is_final"),
-        F.min_by(F.struct("status", "minute", "home_goals", "away_goals", "observed_at"), F.when(final, at)).alias("first_final"),
-        F.max_by(F.struct("status", "minute", "home_goals", "away_goals", "observed_at"), at).alias("last"),
-    )
-    row = F.when(F.col("is_final"), F.col("first_final")).otherwise(F.col("last"))
-    return state.select("match_id", row.alias("r"), "is_final").select("match_id", "r.status", "r.minute", "r.home_goals", "r.away_goals", "is_final")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+    state = accepted(observations).groupBy(*LIVE).agg(*(last(c) for c in ("status", "minute", "home_goals", "away_goals")), F.max("is_final").alias("is_final"), F.max("observed_at").alias("observed_at"))
+    h, a = F.col("home_goals"), F.col("away_goals")
+    return state.withColumn("result_code", F.when(h > a, "1").when(h == a, "X").when(h < a, "2"))
+
+
+def promoted(observations: DataFrame) -> DataFrame:
+    """Finals with both goals known, as they stood at each final observation: results by match, source and time (N02). Two at one time: the later one."""
+    before = W.partitionBy(*LIVE).orderBy("observed_at", "event_id")
+    known = accepted(observations).select(*LIVE, "event_id", F.col("observed_at").alias("played_at"), "is_final", *(F.last(c, ignorenulls=True).over(before).alias(c) for c in ("home_goals", "away_goals")))
+    complete = known.where("is_final and home_goals is not null and away_goals is not null").drop("is_final")
+    return latest(complete, [*LIVE, "played_at"], ["event_id"]).drop("event_id")
+
+
+def best_live(states: DataFrame) -> DataFrame:
+    """Each match's state by its best source: the smallest source_id."""
+    others = [c for c in states.columns if c != "match_id"]
+    best = states.groupBy("match_id").agg(F.min_by(F.struct(*others), "source_id").alias("r"))
+    return best.select("match_id", *(F.col(f"r.{c}").alias(c) for c in others))
 
 
 def merged_status(canonical_rows: DataFrame, live_rows: DataFrame) -> DataFrame:

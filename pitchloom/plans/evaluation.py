@@ -67,39 +67,6 @@ def walk_forward_priors(spark, sf_dir):
     return evaluation.expanding_priors(derive.played(spark, sf_dir))
 
 
-@plan(
-    "m01_error_attribution",
-    SAMPLES
-    + """SELECT match_id, slate_id, pick, rc AS result_code, CASE WHEN hit AND top - second < 0.05 THEN 'lucky_hit' WHEN hit THEN 'correct' WHEN rc = 'X' THEN 'missed_draw' WHEN top - second < 0.05 THEN 'coin_flip'
-  WHEN top >= 0.6 THEN 'overconfident' WHEN own >= second THEN 'second_choice' ELSE 'upset' END AS error_type FROM eb""",
-)
-def error_attribution(spark, sf_dir):
-    return evaluation.attribution(samples(spark, sf_dir))
-
-
-VALUES = ", ".join(f"('{n}', {d}, {t})" for n, (d, t) in evaluation.STRATEGIES.items())
-STRATEGY_SQL = (
-    SAMPLES
-    + f""",
-k AS (SELECT slate_id, hit, own >= second AS two, row_number() OVER (PARTITION BY slate_id ORDER BY round(top - second, 9), position) AS r FROM eb),
-st AS (SELECT * FROM (VALUES {VALUES}) x(strategy, d, t)),
-ps AS (SELECT slate_id, strategy, d, t, count(*) AS positions, count(*) FILTER (WHERE r <= t OR (r <= t + d AND two) OR hit) AS covered FROM k, st GROUP BY ALL),
-pc AS (SELECT slate_id, strategy, positions, covered, covered = positions AS perfect, 15.0::DOUBLE * pow(2, least(d, positions)) * pow(3, least(t, positions)) AS cost FROM ps),
-pn AS (SELECT *, CASE WHEN perfect THEN 1000.0::DOUBLE ELSE 0.0::DOUBLE END - cost AS net FROM pc)
-"""
-)
-
-
-@plan("m04_ticket_strategies", STRATEGY_SQL + "SELECT * FROM pn")
-def ticket_strategies(spark, sf_dir):
-    return evaluation.strategies(samples(spark, sf_dir))
-
-
-@plan("m05_strategy_summary", STRATEGY_SQL + "SELECT strategy, count(*) AS slates, count(*) FILTER (WHERE perfect) AS perfect, sum(covered)::BIGINT AS covered, sum(cost) AS cost, sum(net) AS net, round(sum(net) / sum(cost), 6) AS roi FROM pn GROUP BY 1")
-def strategy_summary(spark, sf_dir):
-    return evaluation.strategy_summary(evaluation.strategies(samples(spark, sf_dir)))
-
-
 @plan(
     "i22_drift",
     """.
@@ -120,7 +87,7 @@ def drift(spark, sf_dir):
     "i31_temperature",
     SAMPLES
     + """,
-g AS (SELECT round(p_home, 4) AS h, round(p_draw, 4) AS d, round(p_away, 4) AS a, rc, count(*) AS n FROM eb GROUP BY ALL),
+g AS (SELECT p_home AS h, p_draw AS d, p_away AS a, rc, count(*) AS n FROM eb GROUP BY ALL),
 t AS (SELECT 0.5::DOUBLE + i * 0.01::DOUBLE AS t FROM range(1151) x(i)),
 l AS (SELECT t, sum(n * (ln(exp(ln(greatest(h, 1e-9)) / t) + exp(ln(greatest(d, 1e-9)) / t) + exp(ln(greatest(a, 1e-9)) / t)) - ln(greatest(CASE rc WHEN '1' THEN h WHEN 'X' THEN d ELSE a END, 1e-9)) / t)) / sum(n) AS loss FROM g, t GROUP BY t)
 SELECT round(t, 2) AS temperature, round(loss, 6) AS loss FROM l ORDER BY round(loss, 9), t LIMIT 1""",
@@ -130,7 +97,7 @@ def temperature(spark, sf_dir):
 
 
 def curve_points(rows):
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.round(c, 3).alias("x"), (F.col("result_code") == k).cast("int").alias("y")) for k, c in evaluation.CLASSES.items())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("x"), (F.col("result_code") == k).cast("int").alias("y")) for k, c in evaluation.CLASSES.items())))
     return rows.select(pairs.alias("p")).select("p.*")
 
 

@@ -45,19 +45,52 @@ def head_to_head(spark, sf_dir):
     return features.head_to_head(derive.played(spark, sf_dir))
 
 
-@plan(
-    "e06_rolling_goals",
+ROLLING_SQL = (
     TEAM_ROWS
-    + """SELECT match_id, team_id, is_home, round(avg(gf) OVER w5, 6) AS goals_for_5, round(avg(ga) OVER w5, 6) AS goals_against_5, round(avg(points) OVER w5, 6) AS points_5,
-  round(avg(gf) OVER w10, 6) AS goals_for_10, round(avg(ga) OVER w10, 6) AS goals_against_10, round(avg(points) OVER w10, 6) AS points_10,
-  CASE WHEN lag(tm) OVER w IS NULL THEN 30.0 ELSE least(round((tm - lag(tm) OVER w) / 86400, 6), 30.0) END AS days_rest FROM tp
-  WINDOW w AS (PARTITION BY team_id ORDER BY tm, match_id), w5 AS (PARTITION BY team_id ORDER BY tm, match_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
-  w10 AS (PARTITION BY team_id ORDER BY tm, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
+    + """,
+h AS (SELECT x.match_id, x.team_id, y.points, y.gf, y.ga, y.tm, row_number() OVER (PARTITION BY x.match_id, x.team_id ORDER BY y.tm DESC, y.match_id DESC) AS k FROM tp x JOIN tp y ON x.team_id = y.team_id AND y.tm < x.tm),
+hs AS (SELECT match_id, team_id, avg(gf) FILTER (WHERE k <= 5) AS f5, avg(ga) FILTER (WHERE k <= 5) AS a5, avg(gf) AS f10, avg(ga) AS a10, avg(points) AS p10, max(tm) AS prior FROM h WHERE k <= 10 GROUP BY ALL),
+bs AS (SELECT competition_id, avg(home_goals) AS hm, avg(away_goals) AS am FROM played GROUP BY 1),
+rolling AS (SELECT t.match_id, t.team_id, t.is_home::INT::DOUBLE AS home_indicator, round(coalesce(f5, 0), 6) AS rolling_goals_for_5, round(coalesce(a5, 0), 6) AS rolling_goals_against_5, round(coalesce(f10, 0), 6) AS rolling_goals_for_10,
+  round(coalesce(a10, 0), 6) AS rolling_goals_against_10, round(coalesce(p10, 0), 6) AS points_per_match_10, round(hm, 6) AS competition_baseline_home_goals, round(am, 6) AS competition_baseline_away_goals,
+  least(coalesce(round((t.tm - prior) / 86400, 6), 30.0), 30.0) AS days_rest FROM t JOIN bs USING (competition_id) LEFT JOIN hs ON hs.match_id = t.match_id AND hs.team_id = t.team_id)
+"""
 )
+
+
+@plan("e06_rolling_goals", ROLLING_SQL + "SELECT * FROM rolling")
 def rolling_goals(spark, sf_dir):
     return features.rolling_goals(derive.played(spark, sf_dir))
 
 
+RECENT = """,
+rr AS (SELECT x.match_id, x.team_id, y.match_id AS past_match_id, y.tm AS played_seconds, row_number() OVER (PARTITION BY x.match_id, x.team_id ORDER BY y.tm DESC, y.match_id DESC) AS rank FROM tp x JOIN tp y ON x.team_id = y.team_id AND y.tm < x.tm),
+mm AS (SELECT *, epoch(kickoff_at)::BIGINT AS tm, least(home_team_id, away_team_id) AS lo, greatest(home_team_id, away_team_id) AS hi FROM played),
+mt AS (SELECT x.match_id, y.match_id AS past_match_id, y.tm AS played_seconds, row_number() OVER (PARTITION BY x.match_id ORDER BY y.tm DESC, y.match_id DESC) AS rank FROM mm x JOIN mm y ON x.lo = y.lo AND x.hi = y.hi AND y.tm < x.tm)
+"""
+
+
+@plan("c10_recent_results", TEAM_ROWS + RECENT + "SELECT match_id, team_id, rank, past_match_id, played_seconds FROM rr WHERE rank <= 8")
+def recent_results(spark, sf_dir):
+    return features.recent_results(derive.played(spark, sf_dir))
+
+
+@plan("c11_meetings", TEAM_ROWS + RECENT + "SELECT match_id, rank, past_match_id, played_seconds FROM mt WHERE rank <= 5")
+def meetings(spark, sf_dir):
+    return features.meetings(derive.played(spark, sf_dir))
+
+
+@plan(
+    "c12_context_results",
+    TEAM_ROWS
+    + RECENT
+    + """, cx AS (SELECT match_id, past_match_id, max(played_seconds) AS played_seconds, bool_or(h) AS is_h2h FROM (SELECT match_id, past_match_id, played_seconds, true AS h FROM mt WHERE rank <= 5 UNION ALL SELECT match_id, past_match_id, played_seconds, false FROM rr WHERE rank <= 5) GROUP BY 1, 2)
+SELECT match_id, past_match_id, is_h2h, row_number() OVER (PARTITION BY match_id ORDER BY is_h2h DESC, played_seconds DESC, past_match_id DESC) AS rank FROM cx""",
+)
+def context_results(spark, sf_dir):
+    return features.context_results(derive.played(spark, sf_dir))
+
+
 @plan(
     "e01_cadence",
     """.
@@ -94,12 +127,12 @@ def pair_competition(spark, sf_dir):
 @plan(
     "c04_nearest_fixture",
     """.
-w AS (SELECT match_id AS request_id, competition_id, home_team_id, away_team_id, epoch(kickoff_at) + 3600 * (match_id % 97) AS tm FROM matches WHERE match_id % 2 = 0)
+w AS (SELECT match_id AS request_id, competition_id, home_team_id, away_team_id, epoch(kickoff_at) + 3600 * (match_id % 97) AS tm FROM matches)
 SELECT request_id, match_id, abs(m.tm - w.tm)::BIGINT AS seconds_apart FROM w JOIN (SELECT *, epoch(kickoff_at) AS tm FROM matches) m USING (competition_id, home_team_id, away_team_id)
 WHERE abs(m.tm - w.tm) <= 48 * 3600 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY abs(m.tm - w.tm), m.tm, match_id) = 1""",
 )
 def nearest_fixture(spark, sf_dir):
     found = derive.matches(spark, sf_dir)
     tm = F.timestamp_seconds(F.unix_seconds("kickoff_at") + 3600 * (F.col("match_id") % 97))
-    wanted = found.where("match_id % 2 = 0").select(F.col("match_id").alias("request_id"), "competition_id", "home_team_id", "away_team_id", tm.alias("kickoff_at"))
+    wanted = found.select(F.col("match_id").alias("request_id"), "competition_id", "home_team_id", "away_team_id", tm.alias("kickoff_at"))
     return features.nearest_fixture(wanted, found)

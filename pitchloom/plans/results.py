@@ -15,8 +15,12 @@ canon AS (SELECT match_id, source_id, home_goals, away_goals, result_code FROM r
 latest AS (SELECT * FROM predictions WHERE version = 1)
 """
 STATE = """,
-state AS (SELECT match_id, status, minute, home_goals, away_goals, bool_or(status = 'full_time') OVER (PARTITION BY match_id) AS is_final FROM live
-  QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY (status = 'full_time') DESC, CASE WHEN status = 'full_time' THEN epoch_us(observed_at) ELSE -epoch_us(observed_at) END, CASE WHEN status = 'full_time' THEN event_id ELSE -event_id END) = 1)
+ob AS (SELECT *, status = 'full_time' AS fin, row_number() OVER (PARTITION BY match_id, source_id ORDER BY observed_at, event_id) AS rn FROM live),
+ac AS (SELECT * FROM (SELECT *, min(rn) FILTER (WHERE fin) OVER (PARTITION BY match_id, source_id) AS ff FROM ob) WHERE fin OR ff IS NULL OR rn < ff),
+st0 AS (SELECT match_id, source_id, arg_max(status, rn) AS status, arg_max(minute, rn) FILTER (WHERE minute IS NOT NULL) AS minute, arg_max(home_goals, rn) FILTER (WHERE home_goals IS NOT NULL) AS home_goals,
+  arg_max(away_goals, rn) FILTER (WHERE away_goals IS NOT NULL) AS away_goals, bool_or(fin) AS is_final, max(observed_at) AS observed_at FROM ac GROUP BY 1, 2),
+state AS (SELECT *, CASE WHEN home_goals > away_goals THEN '1' WHEN home_goals = away_goals THEN 'X' WHEN home_goals < away_goals THEN '2' END AS result_code FROM st0),
+bl AS (SELECT * FROM state QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY source_id) = 1)
 """
 
 
@@ -45,9 +49,24 @@ def latest_predictions(spark, sf_dir):
     return found.select("match_id", "version", "slate_id", "position", *(F.round(c, 9).alias(c) for c in ("p_home", "p_draw", "p_away")))
 
 
-@plan("n01_live_state", CANONICAL + STATE + "SELECT * FROM state")
+@plan("n01_live_state", CANONICAL + STATE + "SELECT * EXCLUDE observed_at FROM state")
 def live_state(spark, sf_dir):
-    return results.live_state(derive.live(spark, sf_dir))
+    return results.live_state(derive.live(spark, sf_dir)).drop("observed_at")
+
+
+@plan(
+    "n02_promoted_finals",
+    CANONICAL
+    + STATE
+    + """,
+kn AS (SELECT match_id, source_id, event_id, observed_at, fin, last_value(home_goals IGNORE NULLS) OVER w AS home_goals, last_value(away_goals IGNORE NULLS) OVER w AS away_goals FROM ac
+  WINDOW w AS (PARTITION BY match_id, source_id ORDER BY rn ROWS UNBOUNDED PRECEDING))
+SELECT match_id, source_id, epoch_us(observed_at) AS played_us, home_goals, away_goals FROM kn WHERE fin AND home_goals IS NOT NULL AND away_goals IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY match_id, source_id, observed_at ORDER BY event_id DESC) = 1""",
+)
+def promoted_finals(spark, sf_dir):
+    found = results.promoted(derive.live(spark, sf_dir))
+    return found.select("match_id", "source_id", F.unix_micros("played_at").alias("played_us"), "home_goals", "away_goals")
 
 
 @plan(
@@ -55,10 +74,10 @@ def live_state(spark, sf_dir):
     CANONICAL
     + STATE
     + """SELECT coalesce(c.match_id, s.match_id) AS match_id, CASE WHEN c.match_id IS NOT NULL THEN 'full_time' ELSE status END AS status, CASE WHEN c.match_id IS NOT NULL THEN c.home_goals ELSE s.home_goals END AS home_goals,
-  CASE WHEN c.match_id IS NOT NULL THEN c.away_goals ELSE s.away_goals END AS away_goals, CASE WHEN c.match_id IS NOT NULL THEN 'canonical' ELSE 'live' END AS origin FROM canon c FULL JOIN state s ON c.match_id = s.match_id""",
+  CASE WHEN c.match_id IS NOT NULL THEN c.away_goals ELSE s.away_goals END AS away_goals, CASE WHEN c.match_id IS NOT NULL THEN 'canonical' ELSE 'live' END AS origin FROM canon c FULL JOIN bl s ON c.match_id = s.match_id""",
 )
 def merged_status(spark, sf_dir):
-    return results.merged_status(results.canonical(derive.results(spark, sf_dir)), results.live_state(derive.live(spark, sf_dir)))
+    return results.merged_status(results.canonical(derive.results(spark, sf_dir)), results.best_live(results.live_state(derive.live(spark, sf_dir))))
 
 
 @plan(

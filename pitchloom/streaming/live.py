@@ -12,37 +12,36 @@ STATE = "status string, minute long, home_goals long, away_goals long, is_final
 
 
 def merge(state: tuple | None, row: tuple) -> tuple:
-    """The state after an observation (status, minute, home_goals, away_goals, at, id): the first final stays, else the latest counts; known goals are not blanked."""
+    """The state after an observation (status, minute, home_goals, away_goals, at, id): a final gives way to later finals only; known goals and minutes are not blanked."""
     status, minute, home, away, at, event = row
     final = status == "full_time"
     if state is not None:
-        old_final, old_at = state[4], (state[5], state[6])
-        if old_final and (not final or (at, event) >= old_at):
+        if (at, event) <= (state[5], state[6]) or (state[4] and not final):
             return state
-        if not final and (at, event) <= old_at:
-            return state
-        home, away = (old if new is None else new for new, old in ((home, state[2]), (away, state[3])))
+        minute, home, away = (old if new is None else new for new, old in ((minute, state[1]), (home, state[2]), (away, state[3])))
     return (status, minute, home, away, final, at, event)
 
 
 def live_states(observations: DataFrame) -> DataFrame:
-    """A stream of match_id with its state after each batch of observations (N01). Replays and late rows leave it as it is.
+    """A stream of match_id and source_id with their state after each batch of observations (N01). Replays, and rows older than the last one applied, leave it as it is.
 
-    observations: match_id, event_id, observed_at, status, minute, home_goals, away_goals.
+    observations: match_id, source_id, event_id, observed_at, status, minute, home_goals, away_goals.
     """
+    columns = ["status", "minute", "home_goals", "away_goals", "at", "event_id"]
 
     def update(key: tuple, tables: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else None
         for table in tables:
-            for r in table.sort_values(["at", "event_id"]).itertuples(index=False):
-                clean = tuple(None if pd.isna(x) else x for x in (r.status, r.minute, r.home_goals, r.away_goals))
-                now = merge(now, (clean[0], *(None if x is None else int(x) for x in clean[1:]), int(r.at), int(r.event_id)))
+            ordered = table.sort_values(["at", "event_id"])[columns].astype(object)
+            for row in ordered.where(ordered.notna(), None).to_numpy().tolist():
+                now = merge(now, (row[0], *(None if x is None else int(x) for x in row[1:])))
         if now is not None:
             state.update(now)
-            yield pd.DataFrame([(key[0], *now[:5])], columns=["match_id", "status", "minute", "home_goals", "away_goals", "is_final"])
+            yield pd.DataFrame([(*key, *now[:5])], columns=["match_id", "source_id", "status", "minute", "home_goals", "away_goals", "is_final"])
 
-    rows = observations.select("match_id", "event_id", F.unix_micros("observed_at").alias("at"), "status", "minute", "home_goals", "away_goals")
-    return rows.groupBy("match_id").applyInPandasWithState(update, "match_id long, status string, minute long, home_goals long, away_goals long, is_final boolean", STATE, "update", "NoTimeout")
+    rows = observations.select("match_id", "source_id", "event_id", F.unix_micros("observed_at").alias("at"), "status", "minute", "home_goals", "away_goals")
+    kind = "match_id long, source_id long, status string, minute long, home_goals long, away_goals long, is_final boolean"
+    return rows.groupBy("match_id", "source_id").applyInPandasWithState(update, kind, STATE, "update", "NoTimeout")
 
 
 def proposals(sightings: DataFrame, needed: int = 2) -> DataFrame:

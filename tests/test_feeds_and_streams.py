@@ -1,6 +1,10 @@
 import json
+import time
+from datetime import datetime
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchloom.functions import text
 from pitchloom.operators import linking, results
@@ -68,15 +72,20 @@ def test_greedy_48_hours(spark):
 
 def test_live_stream_equals_batch(spark, tmp_path):
     rows = derive.live(spark, "/root/testdata/sf0.001")
-    for k in range(3):  # three files, out of order
-        rows.where(F.col("event_id") % 3 == 2 - k).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    edges = [T.Row(event_id=10**6 + i, match_id=-1, source_id=1, observed_at=datetime(2030, 1, 1, i), status=s, minute=m, home_goals=h, away_goals=a) for i, (s, m, h, a) in enumerate([("live", 10, 1, 0), ("full_time", None, None, 2), ("live", 95, 0, 0), ("full_time", 90, 3, None)])]
+    rows = rows.unionByName(spark.createDataFrame(edges, rows.schema))
+    thirds = rows.withColumn("third", F.ntile(3).over(W.orderBy("observed_at", "event_id")))
+    for k in range(3):
+        thirds.where(F.col("third") == k + 1).drop("third").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        time.sleep(1.1)  # files are read in the order of their times
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     query = live.live_states(stream).writeStream.outputMode("update").format("memory").queryName("live_states").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
-    seen = {r.match_id: r for r in spark.table("live_states").collect() if r.is_final}
-    want = {r.match_id: r for r in results.live_state(rows).collect() if r.is_final}
-    assert seen.keys() == want.keys()
+    columns = ["match_id", "source_id", "status", "minute", "home_goals", "away_goals", "is_final"]
+    seen = {(r.match_id, r.source_id): tuple(r[c] for c in columns) for r in spark.table("live_states").collect()}  # the last update of each key stays
+    want = {(r.match_id, r.source_id): tuple(r[c] for c in columns) for r in results.live_state(rows).collect()}
+    assert seen == want and seen[(-1, 1)] == (-1, 1, "full_time", 90, 3, 2, True)
 
 
 def test_merge_rules():
