@@ -5,7 +5,7 @@ characters go, look-alike letters and wide forms become ASCII, at and dot disgui
 rewritten character keeps the start and end of the source characters that it stands for, so that identifiers found in the rewritten text
 come back as spans of the source. Those that overlap no plain identifier, or hold one and more, are added.
 
-Offsets are code points of the source, end exclusive. Defined results: null or empty text: no spans. Repeated rows: each by itself.
+Offsets are code points of the source, end exclusive. Defined results: null or empty text: no spans (`masked` returns a null text as an empty one). Repeated rows: each by itself.
 Empty table: empty result. Extra columns are ignored by `detected` and kept by `masked`.
 """
 
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,11 +164,17 @@ def detect(text: str) -> tuple[list[Span], list[Span]]:
     changed = normalised(text)
     if changed is None:
         return base, base
-    taken = [(s, e) for _, s, e in base]
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))  # reach: the greatest end up to each span
     more = []
     for kind, s, e in plain(changed.text):
         a, b = changed.start[s], changed.end[e - 1]
-        if all(b <= s or e <= a or (a <= s and e <= b and b - a > e - s) for s, e in taken):
+        k, whole = bisect_left(starts, b) - 1, True
+        while whole and k >= 0 and reach[k] > a:  # back over the spans that begin before b, as far as one may reach over a
+            s, e = taken[k]
+            whole = e <= a or (a <= s and e <= b and b - a > e - s)
+            k -= 1
+        if whole:
             more.append((kind, a, b))
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
