@@ -144,6 +144,17 @@ def test_passage_held_twice_goes_twice_wherever_the_rows_lie(spark):
         assert got == {(1, 40, 110), (1, 170, 240)}
 
 
+def test_same_passages_for_any_partitioning_and_texts_of_one_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {tuple(r) for r in passages.removals(docs.coalesce(1)).collect()}
+    many = {tuple(r) for r in passages.removals(docs.repartition(37)).collect()}
+    assert one == many and one
+    passage = words(70, 99)
+    texts = [f"{words(40, 404)} {passage}", f"{passage} {words(200, 405)}", words(60, 406), f"{words(40, 407)} {passage}"]
+    got = passages.without_repeats(frame(spark, texts, [0, 1, 1, 1])).collect()
+    assert sorted(r.text.strip() for r in got) == sorted([texts[0], words(200, 405), texts[2], words(40, 407)])
+
+
 def test_passages_that_the_smallest_holder_has_in_part_go(spark):
     texts = []
     for k in range(8):
