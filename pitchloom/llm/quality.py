@@ -1,7 +1,7 @@
 """Operator 1: quality rules by host.
 
 Each document is measured against text rules; failures are summed by host; each host's failure rate is shrunk by
-a Beta prior fitted to all hosts; hosts whose shrunken rate is high are suspect, and on those the rules are stricter.
+a Beta prior fitted to all hosts; hosts whose shrunken rate is well over the prior's mean are suspect, and on those the rules are stricter.
 
 A document goes if it fails the base rules (too short, or mostly repeated 8-word windows), if it breaks a rule
 grossly on any host, or if it breaks one mildly on a suspect host. A clean document stays wherever it was found.
@@ -28,8 +28,10 @@ GROSS = {"n_symbols": 40, "n_dup_lines": 30, "n_echo_words": 50}
 MILD = {"n_symbols": 20, "n_dup_lines": 15, "n_echo_words": 25}
 #: Mean word length in code points, both ends allowed.
 WORD_LENGTH = (2, 30)
-#: A host is suspect if its shrunken failure rate is over this.
-SUSPECT_RATE = 0.5
+#: A host is suspect if its shrunken failure rate is over so many times the prior's mean.
+SUSPECT_TIMES = 1.2
+#: The prior's strength in documents: the least, and the one where hosts differ no more than by chance.
+LEAST_STRENGTH, SAME_STRENGTH = 2.0, 1e6
 
 
 def covered(windows: np.ndarray, width: int) -> int:
@@ -83,30 +85,34 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 def host_rates(metrics: DataFrame, host: str) -> DataFrame:
     """Per host: n, failures, the failure rate shrunk by the Beta prior, and whether the host is suspect.
 
-    The prior is fitted by the moments of the hosts' rates: strength = mean (1 - mean) / variance - 1, at least 2 (also where rates do not vary).
+    The prior is fitted by beta-binomial moments: its mean is the rate of all documents; what the hosts' rates vary beyond the binomial part, weighted by their documents, gives
+    the strength mean (1 - mean) / variance - 1.
     """
     failed = base_failed() | breaks(MILD)
     hosts = metrics.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(failed.cast("long")).alias("failures"))
-    prior = hosts.agg(F.avg(F.col("failures") / F.col("n")).alias("mean"), F.var_pop(F.col("failures") / F.col("n")).alias("var"))
-    strength = F.greatest(F.lit(2.0), F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(2.0)))
-    prior = prior.select(F.col("mean"), strength.alias("strength"))  # one row
+    n, f = F.col("n").cast("double"), F.col("failures").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("all"), F.sum(f).alias("bad"), F.sum(f * f / n).alias("squares"), F.sum(n * n).alias("sizes"))
+    mean = F.col("bad") / F.col("all")
+    between = F.try_divide(F.col("squares") - F.col("bad") * mean - (F.col("k") - 1) * mean * (1 - mean), F.col("all") - F.col("sizes") / F.col("all"))
+    strength = F.when(between > 1e-12, F.greatest(F.lit(LEAST_STRENGTH), mean * (1 - mean) / between - 1)).otherwise(F.lit(SAME_STRENGTH))
+    prior = sums.select(mean.alias("mean"), strength.alias("strength"))  # one row
     rates = hosts.join(F.broadcast(prior), F.lit(True), "left")
-    shrunk = (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return rates.select("host", "n", "failures", shrunk.alias("host_rate"), (shrunk > SUSPECT_RATE).alias("suspect"))
+    shrunk = F.round((F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength")), 9)
+    return rates.select("host", "n", "failures", shrunk.alias("host_rate"), (shrunk > F.round(F.col("mean") * SUSPECT_TIMES, 9)).alias("suspect"))
 
 
 def judged(metrics: DataFrame, rates: DataFrame, host: str) -> DataFrame:
-    """metrics with base_failed and kept; rates has few columns and one row a host."""
-    suspects = rates.where("suspect").select(F.col("host").alias("__host"), F.lit(True).alias("__suspect"))
-    joined = metrics.join(suspects, F.col(host).eqNullSafe(F.col("__host")), "left")
-    kept = ~F.col("base_failed") & ~breaks(GROSS) & ~(F.coalesce(F.col("__suspect"), F.lit(False)) & breaks(MILD))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("__host", "__suspect")
+    """metrics with base_failed, kept, host_rate and suspect_host; rates: a table of one row a host."""
+    own = rates.select(F.col("host").alias("__host"), F.col("host_rate").alias("__rate"), F.col("suspect").alias("__suspect"))
+    joined = metrics.join(own, F.col(host).eqNullSafe(F.col("__host")), "left")
+    kept = ~base_failed() & ~breaks(GROSS) & ~(F.coalesce(F.col("__suspect"), F.lit(False)) & breaks(MILD))
+    return joined.select("*", base_failed().alias("base_failed"), kept.alias("kept")).withColumnsRenamed({"__rate": "host_rate", "__suspect": "suspect_host"}).drop("__host")
 
 
 def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row a document: doc_id, the metrics, base_failed and kept."""
     metrics = cut(measured(docs.select("doc_id", F.col(host).alias("__source"), "text"), ["doc_id", "__source"]))
-    return judged(metrics, host_rates(metrics, "__source"), "__source").select("doc_id", *METRICS[:5], *VERDICTS, *METRICS[5:])
+    return judged(metrics, cut(host_rates(metrics, "__source")), "__source").select("doc_id", *METRICS[:5], *VERDICTS, *METRICS[5:], "host_rate", "suspect_host")
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -132,9 +138,10 @@ f AS (SELECT *, word_chars < {low} * n_words OR word_chars > {high} * n_words AS
 g AS (SELECT *, 100 * n_symbols > {gs} * n_words OR 100 * n_dup_lines > {gd} * n_words OR 100 * n_echo_words > {ge} * n_words OR odd AS gross,
   100 * n_symbols > {ms} * n_words OR 100 * n_dup_lines > {md} * n_words OR 100 * n_echo_words > {me} * n_words OR odd AS mild FROM f),
 h AS (SELECT source, count(*) AS n, sum((base_failed OR mild)::INT) AS failures FROM g GROUP BY source),
-p0 AS (SELECT avg(failures / n) AS mean, var_pop(failures / n) AS var FROM h),
-p AS (SELECT mean, greatest(2.0, CASE WHEN var > 0 THEN mean * (1 - mean) / var - 1 ELSE 2.0 END) AS strength FROM p0),
-s AS (SELECT source, (failures + mean * strength) / (n + strength) > {rate} AS suspect FROM h, p),
-verdict AS (SELECT g.*, NOT base_failed AND NOT gross AND NOT (suspect AND mild) AS kept FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source)
-""".format(low=WORD_LENGTH[0], high=WORD_LENGTH[1], gs=GROSS["n_symbols"], gd=GROSS["n_dup_lines"], ge=GROSS["n_echo_words"], me=MILD["n_echo_words"], ms=MILD["n_symbols"], md=MILD["n_dup_lines"], rate=SUSPECT_RATE)
-ORACLE = f"WITH {BASE_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_echo_words FROM verdict"
+p0 AS (SELECT count(*) AS k, sum(n)::DOUBLE AS total, sum(failures)::DOUBLE AS bad, sum(failures::DOUBLE * failures / n) AS squares, sum(n::DOUBLE * n) AS sizes FROM h),
+p1 AS (SELECT bad / total AS mean, (squares - bad * bad / total - (k - 1) * (bad / total) * (1 - bad / total)) / nullif(total - sizes / total, 0) AS between_hosts FROM p0),
+p AS (SELECT mean, CASE WHEN between_hosts > 1e-12 THEN greatest({least}, mean * (1 - mean) / between_hosts - 1) ELSE {same} END AS strength FROM p1),
+s AS (SELECT source, round((failures + mean * strength) / (n + strength), 9) AS host_rate, round((failures + mean * strength) / (n + strength), 9) > round(mean * {times}, 9) AS suspect_host FROM h, p),
+verdict AS (SELECT g.*, s.host_rate, s.suspect_host, NOT base_failed AND NOT gross AND NOT (suspect_host AND mild) AS kept FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source)
+""".format(low=WORD_LENGTH[0], high=WORD_LENGTH[1], gs=GROSS["n_symbols"], gd=GROSS["n_dup_lines"], ge=GROSS["n_echo_words"], me=MILD["n_echo_words"], ms=MILD["n_symbols"], md=MILD["n_dup_lines"], times=SUSPECT_TIMES, least=LEAST_STRENGTH, same=SAME_STRENGTH)
+ORACLE = f"WITH {BASE_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_echo_words, host_rate, suspect_host FROM verdict"

@@ -231,3 +231,11 @@ def prefix_table(docs: DataFrame, tokenizer: str) -> DataFrame:
         return lambda texts: {"counts": pa.array([tables.prefix_counts(t.decode()) for t in texts], pa.list_(pa.int64()))}
 
     return map_texts(docs, make, "counts array<long>", ["doc_id"])
+
+
+def budgets(tables: DataFrame, limits: list[int]) -> DataFrame:
+    """From stored prefix tables (doc_id, counts): for each limit the longest start (code points) of at most so many tokens, and the tokens of that start. Nothing is encoded again."""
+    each = tables.select("doc_id", "counts", F.explode(F.array(*(F.lit(n).cast("long") for n in limits))).alias("limit"))
+    fit = F.array_max(F.transform("counts", lambda n, i: F.when(n <= F.col("limit"), i)))
+    found = each.select("doc_id", "limit", "counts", fit.alias("fit"))
+    return found.select("doc_id", "limit", F.col("fit").cast("long").alias("fit_chars"), F.get("counts", F.col("fit")).alias("fit_tokens"))

@@ -264,6 +264,29 @@ def test_prefix_counts_against_library():
         assert mine.count(t) == want[-1]
 
 
+def test_stored_prefix_tables_answer_budgets(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, texts = Tokenizer.from_file(path), [words(30, 1), "it's 12 é日本\n  done", "", None]
+    tables = token_counts.prefix_table(frame(spark, texts), path)
+    for x in token_counts.budgets(tables, [0, 3, 10]).collect():
+        t = texts[x.doc_id] or ""
+        counts = [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert x.fit_chars == max(i for i, n in enumerate(counts) if n <= x.limit) and x.fit_tokens == counts[x.fit_chars]
+
+
+def test_bad_hosts_get_the_strict_rules(spark):
+    clean = [words(60, k) for k in range(200)]
+    mild = words(60, 999).split()
+    for k in range(0, 60, 4):
+        mild[k] = "#"  # 25 signs in a hundred words
+    rows = [(k, t, "bad" if k % 4 == 0 else f"h{k % 7}") for k, t in enumerate(clean)] + [(1000 + k, "junk", "bad") for k in range(60)] + [(2000, " ".join(mild), "bad"), (2001, " ".join(mild), "h1"), (2002, clean[0], "bad")]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[2000].suspect_host and not got[2000].kept and got[2001].kept and got[2002].kept and not got[2001].suspect_host
+    assert got[2000].host_rate > 0.3 > got[2001].host_rate
+
+
 def test_unigram_against_brute_force():
     pieces = [("<unk>", 0.0, "unknown"), *((f"<0x{b:02X}>", 0.0, "byte") for b in range(256)), *((p, -float(k % 5 + 1), "normal") for k, p in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "aba", "bb"]))]
     m = unigram.Unigram(pieces)
