@@ -18,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Alphabets of the five codes of a group, without the colour cache: green with lengths, red, blue, alpha, distance.
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
-#: Least bytes of a back-reference that the writer makes, and most pixels.
-LEAST_BYTES, MOST_COPIED = 9, 4096
+#: Least pixels of a back-reference in a grey and in an RGB image (powers of two), most pixels, and how far back it may reach.
+LEAST_GREY, LEAST_RGB, MOST_COPIED, MOST_BACK = 16, 4, 4096, 1 << 16
 
 
 # ---- prefix codes
@@ -89,6 +90,11 @@ class Code:
         at = reversal(self.bits)
         self.symbol, self.length = np.repeat(used[order], spread)[at], np.repeat(lengths, spread)[at]
 
+    def lists(self) -> tuple[list[int], list[int]]:
+        if not hasattr(self, "listed"):
+            self.listed = self.symbol.tolist(), self.length.tolist()
+        return self.listed
+
 
 NONE = 1 << 60  # more than any weight
 
@@ -154,6 +160,15 @@ class Bits:
         return ((2 + (prefix & 1)) << extra) + self.read(extra) + 1
 
 
+@lru_cache(maxsize=64)
+def length_code_of(packed: int, n: int) -> Code:
+    """The code for code lengths from its own n lengths, three bits each."""
+    lengths = np.zeros(19, dtype=np.int64)
+    for i, k in enumerate(LENGTH_ORDER[:n]):
+        lengths[k] = packed >> 3 * i & 7
+    return Code(lengths)
+
+
 def read_code(bits: Bits, size: int) -> Code:
     lengths = np.zeros(size, dtype=np.int64)
     if bits.read(1):
@@ -165,12 +180,11 @@ def read_code(bits: Bits, size: int) -> Code:
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
         lengths[bits.read(8)] = 1
         return Code(lengths)
-    first = np.zeros(19, dtype=np.int64)
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        first[k] = bits.read(3)
-    code = Code(first)
+    n = 4 + bits.read(4)
+    packed = bits.read(30) | bits.read(27) << 30 if n == 19 else sum(bits.read(3) << 3 * k for k in range(n))
+    code = length_code_of(packed, n)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    symbol, length, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
+    symbol, length, mask = *code.lists(), (1 << code.bits) - 1
     a, used = bits.at >> 3, bits.at & 7
     window = int.from_bytes(bits.data[a : a + 2 * size], "little") >> used  # 14 bits a length at most
     start, found, before, k = bits.at, [0] * (size + 138), 8, 0
@@ -254,7 +268,7 @@ def read_fast(bits: Bits, width: int, n: int, group: list[Code], cache_bits: int
     special = codes[0].symbol >= 256
     if not cache_bits and not any(c.bits for c in codes[1:]):  # a grey image
         own = [None] * 4
-        steps = np.where(special, 0, codes[0].length).astype(np.uint8)[window & mask].tobytes()
+        steps = np.where(special, 0, codes[0].length)[window & mask]
     else:
         own = [c.length[window & ((1 << c.bits) - 1)] if c.bits else None for c in codes]
         step = first = own[0] if own[0] is not None else np.zeros(len(window), dtype=np.int64)
@@ -265,29 +279,54 @@ def read_fast(bits: Bits, width: int, n: int, group: list[Code], cache_bits: int
         if special.any():
             green = codes[0].symbol[window & mask]
             step = np.where(green < 256, step, np.where(green < ALPHABETS[0], 0, first))
-        steps = step.astype(np.uint8).tobytes()
+        steps = step
     at, base = bits.at & 7, bits.at & ~7
+    one = np.minimum(np.arange(last + 1) + steps, last)
+    two = one[one]
+    four = two[two]
+    eight = four[four]
+    far_on, near_on, ends = memoryview(eight), memoryview(one), memoryview(steps)
     found: list[int] = []
-    runs, copies, k = [], [], 0  # numbers of tokens up to a copy, and (length, distance) of the copy
+    sizes_of_runs, copies, k = [], [], 0  # tokens up to each copy, and (length, distance) of the copy
     seen = found.append
     while k < n:
-        before = len(found)
-        for _ in range(n - k):
-            size = steps[at]
-            if not size:
-                break
+        before, left = len(found), n - k
+        while ends[at] and left > 0:  # in strides of eight tokens; a stride ends early at a copy, where steps are 0
             seen(at)
-            at += size
-        k += len(found) - before
+            at = far_on[at]
+            left -= 8
+        tokens = n - k
+        if not ends[at] and found and len(found) > before:
+            place, tokens = found[-1], 8 * (len(found) - before - 1)
+            while ends[place]:
+                place, tokens = near_on[place], tokens + 1
+            at = place
+        elif not ends[at]:
+            tokens = 0
+        if tokens >= n - k:
+            tokens = n - k
+            place = found[-1] if len(found) > before else at
+            for _ in range(tokens - 8 * (len(found) - before - 1) if len(found) > before else 0):
+                place = near_on[place]
+            at = place
+        sizes_of_runs.append((len(found) - before, tokens))
+        k += tokens
         if k < n:
             bits.at = base + at
             length = min(bits.number(bits.symbol(codes[0]) - 256), n - k)
             copies.append((length, far(bits.number(bits.symbol(group[4])), width)))
             k += length
             at = bits.at - base
-        runs.append(len(found))
     bits.at = base + at
-    at = np.array(found, dtype=np.int64)
+    stride = np.array(found, dtype=np.int64)
+    odd = one[stride]
+    strides = np.stack([stride, odd, two[stride], two[odd], four[stride], four[odd], four[two[stride]], four[two[odd]]], axis=1) if len(found) else np.zeros((0, 8), dtype=np.int64)
+    kept, row = np.zeros(8 * len(found), dtype=bool), 0
+    for rows, tokens in sizes_of_runs:
+        kept[8 * row : 8 * row + tokens] = True
+        row += rows
+    runs = np.cumsum([t for _, t in sizes_of_runs]).tolist()
+    at = strides.reshape(-1)[kept]
     token = codes[0].symbol[window[at] & mask]
     value = (token.astype(np.uint32) & np.uint32(255)) << np.uint32(8)
     for k, shift in ((1, 16), (2, 0), (3, 24)):
@@ -297,12 +336,14 @@ def read_fast(bits: Bits, width: int, n: int, group: list[Code], cache_bits: int
     if cache_bits:
         return resolved(token, value, runs, copies, cache_bits)
     out, done, k = np.zeros(n, dtype=np.uint32), 0, 0
-    for end, (length, back) in zip(runs, [*copies, (0, 1)]):
+    for end, (length, back) in zip(runs, [*copies, (0, 1)], strict=False):
         out[k : k + end - done] = value[done:end]
         k, done = k + end - done, end
-        for i in range(k, k + length, back):
-            part = min(back, k + length - i)
-            out[i : i + part] = out[i - back : i - back + part]
+        done_now = 0
+        while done_now < length:  # what is copied doubles where it overlaps itself
+            part = min(back + done_now, length - done_now)
+            out[k + done_now : k + done_now + part] = out[k - back : k - back + part]
+            done_now += part
         k += length
     return out
 
@@ -468,7 +509,7 @@ class Writer:
         self.size += n
 
     def write_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        """The values, sizes[i] bits (at most 32) each. Codes lie beside each other in 32-bit words, so sums of shifted values are exact."""
+        """The values, sizes[i] bits (at most 32, so that they fit a word and its neighbour) each. Codes lie beside each other in 32-bit words, so sums of shifted values are exact."""
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         starts = ends - sizes
@@ -481,6 +522,16 @@ class Writer:
         return self.value.to_bytes(-(-self.size // 8), "little")
 
 
+def length_code() -> tuple[np.ndarray, np.ndarray]:
+    """The writer's code for code lengths, a full one for every image: five bits for the six rarest, four for the others."""
+    lengths = np.full(19, 4, dtype=np.int64)
+    lengths[[1, 2, 13, 14, 15, 16]] = 5
+    return lengths, canonical(lengths)
+
+
+LENGTH_CODE = length_code()
+
+
 def write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a code for symbols with these counts; returns codes and lengths (0: nothing to write)."""
     used = counts.nonzero()[0]
@@ -510,10 +561,7 @@ def write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             few = min(n, 138) if not 138 < n < 141 else n - 3  # three at least are left over
             symbol[at], extra[at], size[at] = (17, few - 3, 3) if few < 11 else (18, few - 11, 7)
             n, at = n - few, at + 1
-    seen = np.bincount(symbol, minlength=19)
-    if np.count_nonzero(seen) == 1:
-        seen[0 if not seen[0] else 1] = 1
-    own = huffman(seen, 7)
+    own, own_codes = LENGTH_CODE
     out.write(0, 1)
     out.write(15, 4)
     out.write(sum(n << 3 * k for k, n in enumerate(own[LENGTH_ORDER].tolist())), 57)
@@ -527,7 +575,7 @@ def write_code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         assert not pad or tokens < 2
         symbol = np.concatenate([symbol, np.zeros(pad, dtype=np.int64)])
         extra, size = (np.concatenate([x, np.zeros(pad, dtype=np.int64)]) for x in (extra, size))
-    out.write_all(np.stack([canonical(own)[symbol], extra], axis=1).reshape(-1), np.stack([own[symbol], size], axis=1).reshape(-1))
+    out.write_all(np.stack([own_codes[symbol], extra], axis=1).reshape(-1), np.stack([own[symbol], size], axis=1).reshape(-1))
     return canonical(lengths), lengths
 
 
@@ -546,13 +594,15 @@ def repeats(image: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     n = len(image)
     if n < least + 1:
         return []
-    wide = image.astype(np.uint64)
-    key = wide[: n - least + 1] * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(1, least):
-        key = (key ^ wide[k : n - least + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    key, width = image.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
+    while width < least:  # keys of windows twice as wide
+        key, width = key[:-width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + key[width:], 2 * width
+    order = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")  # sixteen bits are sorted by radix; a chance collision between two equal ones hides a copy, no more
+    key = key[order]
+    same = key[1:] == key[:-1]
     at, before = order[1:][same], order[:-1][same]
+    near = at - before <= MOST_BACK
+    at, before = at[near], before[near]
     by_place = np.argsort(at)
     out, done, data = [], 0, image.tobytes()
     for i, j in zip(at[by_place].tolist(), before[by_place].tolist()):
@@ -589,7 +639,7 @@ def cache_hits(image: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarr
 
 
 def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies: int = 0, cache_bits: int = 0) -> None:
-    """image: ARGB pixels. copies: writes stretches of so many pixels or more that stand before as back-references; cache_bits: uses a colour cache."""
+    """image: ARGB pixels. copies: writes stretches of so many pixels (a power of two) or more that stand before as back-references; cache_bits: uses a colour cache."""
     out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
     if main:
         out.write(0, 1)
@@ -611,20 +661,21 @@ def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies:
     size = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
     codes = [write_code(out, np.bincount(np.concatenate([token, np.array([256 + s for s, _, _ in lengths], dtype=np.int64)]), minlength=size))]
     for x, n in zip(channel[1:], ALPHABETS[1:4], strict=True):
-        codes.append(write_code(out, np.bincount(x[:1] if (x == x[0]).all() else x[literal], minlength=n)))
+        if (x == x[0]).all():
+            out.write(5 | int(x[0]) << 3, 11)  # one symbol of eight bits
+            codes.append((NOTHING, NOTHING))
+        else:
+            codes.append(write_code(out, np.bincount(x[literal], minlength=n)))
     codes.append(write_code(out, np.bincount(np.array([s for s, _, _ in distances], dtype=np.int64), minlength=ALPHABETS[4])))
     shown = [k for k in range(4) if codes[k][1].any()]
-    value, bits = np.zeros((len(place), 4 if back else len(shown)), dtype=np.int64), np.zeros((len(place), 4 if back else len(shown)), dtype=np.int64)
+    columns = max(1, len(shown), 2 * bool(back))
+    value, bits = (np.zeros((len(image), columns), dtype=np.int64) for _ in range(2))  # a row a pixel; copied ones have no bits
     for column, k in enumerate(shown):
-        value[:, column] = codes[k][0][channel[k] if k else token]
-        bits[:, column] = np.where(literal, codes[k][1][channel[k]], 0) if k else codes[k][1][token]
-    if back:
-        more, sizes = [], []
-        for (s, e, n), (ds, de, dn) in zip(lengths, distances, strict=True):
-            more.append((codes[0][0][256 + s], e, codes[4][0][ds], de))
-            sizes.append((codes[0][1][256 + s], n, codes[4][1][ds], dn))
-        order = np.argsort(np.concatenate([place, [i for i, _, _ in back]]), kind="stable")
-        value, bits = np.concatenate([value, np.array(more)])[order], np.concatenate([bits, np.array(sizes)])[order]
+        value[place, column] = codes[k][0][channel[k] if k else token]
+        bits[place, column] = np.where(literal, codes[k][1][channel[k]], 0) if k else codes[k][1][token]
+    for (i, _, _), *pair in zip(back, lengths, distances):
+        for column, (s, extra, n), (code, size), first in zip((0, 1), pair, (codes[0], codes[4]), (256, 0)):
+            value[i, column], bits[i, column] = int(code[first + s]) | extra << int(size[first + s]), size[first + s] + n
     for k in range(0, len(value), 1 << 16):  # bounds the bits held apart
         some, size = value[k : k + (1 << 16)].reshape(-1), bits[k : k + (1 << 16)].reshape(-1)
         has = size > 0
@@ -676,7 +727,7 @@ def stored(payload: bytes) -> bytes:
 
 
 def write_samples(samples: np.ndarray) -> bytes:
-    wide, out, cache_bits, copies = samples.astype(np.uint32), Writer(), 0, LEAST_BYTES
+    wide, out, cache_bits, copies = samples.astype(np.uint32), Writer(), 0, LEAST_GREY
     height, width = len(samples) // ROW_BYTES, ROW_BYTES
     few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
     if not few:
@@ -684,7 +735,7 @@ def write_samples(samples: np.ndarray) -> bytes:
         ordered = np.sort(three)
         distinct = 1 + np.count_nonzero(ordered[1:] != ordered[:-1])
         if 4 * distinct <= len(three):
-            cache_bits, width, copies = min(10, int(distinct).bit_length()), ROW_BYTES // 3, LEAST_BYTES // 3
+            cache_bits, width, copies = min(10, int(distinct).bit_length()), ROW_BYTES // 3, LEAST_RGB
     image = np.uint32(0xFF000000) | (three if cache_bits else wide << 8)
     out.write(width - 1, 14)
     out.write(height - 1, 14)

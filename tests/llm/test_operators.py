@@ -312,13 +312,78 @@ def test_webp_round_trips():
         kinds = [t for t in r.permutation(4).tolist() if r.random() < 0.5]
         if webp.PALETTE in kinds and (len(np.unique(image.reshape(-1, 4), axis=0)) > 256 or kinds[0] != webp.PALETTE):
             kinds.remove(webp.PALETTE)
-        data = webp.write_file(image, tuple(kinds), int(r.integers(2, 4)), 3 * (k % 2), int(r.choice([0, 1, 4, 11])))
+        data = webp.write_file(image, tuple(kinds), int(r.integers(2, 4)), 4 * (k % 2), int(r.choice([0, 1, 4, 11])))
         assert (webp.read_file(data) == image).all()
     for text in (b"", b"x", bytes(range(256)) * 9, b"a" * 5000):
         payload = webp.payload_of(text)
         assert len(payload) % 576 == 0 and payload and webp.read_back(webp.stored(payload)) == payload
 
 
+def assembled(width, height, fields):
+    """A lossless WebP file from (value, bits) fields, put together bit by bit without the writer."""
+    text = "".join(format(v, f"0{n}b")[::-1] for v, n in [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *fields] if n)
+    text += "0" * (-len(text) % 16)
+    body = bytes(int(text[k : k + 8][::-1], 2) for k in range(0, len(text), 8))
+    chunk = b"VP8L" + len(body).to_bytes(4, "little") + body
+    return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+def lone(symbol):
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def either(a, b):
+    return [(1, 1), (1, 1), (1, 1), (a, 8), (b, 8)]
+
+
+def test_webp_reader_on_streams_put_together_by_hand():
+    r = random.Random(12)
+    w, h = 7, 5
+    for mode in range(14):  # an inverse predictor over residuals of two values a channel
+        picks = [[r.randrange(2) for _ in range(3)] for _ in range(w * h)]
+        sub = [(0, 1), *lone(mode), *lone(0), *lone(0), *lone(0), *lone(0)]
+        main = [(0, 1), (0, 1), *either(3, 250), *either(9, 130), *either(1, 255), *lone(0), *lone(0)]
+        data = assembled(w, h, [(1, 1), (0, 2), (1, 3), *sub, (0, 1), *main, *[(b, 1) for p in picks for b in p]])
+        seen = [[None] * w for _ in range(h)]
+        for k, (g, red, blue) in enumerate(picks):
+            y, x = divmod(k, w)
+            rest = (0, (9, 130)[red], (3, 250)[g], (1, 255)[blue])
+            if not y:
+                guess = seen[0][x - 1] if x else (255, 0, 0, 0)
+            elif not x:
+                guess = seen[y - 1][0]
+            else:
+                left, top, tl, tr = seen[y][x - 1], seen[y - 1][x], seen[y - 1][x - 1], seen[y - 1][x + 1] if x + 1 < w else seen[y][0]
+                mean = lambda p, q: tuple((a + b) // 2 for a, b in zip(p, q))
+                clamp = lambda v: max(0, min(255, v))
+                at = mean(left, top)
+                far = [sum(abs(a - b) for a, b in zip(p, tl)) for p in (top, left)]
+                guess = [
+                    (255, 0, 0, 0), left, top, tr, tl, mean(mean(left, tr), top), mean(left, tl), mean(left, top), mean(tl, top), mean(top, tr), mean(mean(left, tl), mean(top, tr)), left if far[0] < far[1] else top,
+                    tuple(clamp(a + b - c) for a, b, c in zip(left, top, tl)), tuple(clamp(m + int((m - c) / 2)) for m, c in zip(at, tl)),
+                ][mode]
+            seen[y][x] = tuple((a + b) & 255 for a, b in zip(rest, guess))
+        assert [[tuple(p) for p in row] for row in webp.read_file(data).tolist()] == seen
+    factors = [(0, 1), *lone(20), *lone(250), *lone(7), *lone(255), *lone(0)]  # cross-colour: green to blue, red to blue, green to red
+    main = [(0, 1), (0, 1), *either(40, 200), *either(5, 90), *either(60, 61), *lone(255), *lone(0)]
+    picks = [[r.randrange(2) for _ in range(3)] for _ in range(6)]
+    got = webp.read_file(assembled(3, 2, [(1, 1), (1, 2), (0, 3), *factors, (0, 1), *main, *[(b, 1) for p in picks for b in p]])).reshape(-1, 4).tolist()
+    signed = lambda v: v - 256 if v > 127 else v
+    for (g, red, blue), p in zip(picks, got):
+        g, red, blue = (40, 200)[g], (5, 90)[red], (60, 61)[blue]
+        red = (red + (signed(7) * signed(g) >> 5)) & 255
+        blue = (blue + (signed(20) * signed(g) >> 5) + (signed(250) * signed(red) >> 5)) & 255
+        assert p == [255, red, g, blue]
+    # literals, colour cache and a copy: green symbols 7, a cache hit and a length of 4 pixels at distance 1, with codes of 1, 2 and 2 bits
+    slot = (0x1E35A7BD * 0xFF010702 & 0xFFFFFFFF) >> 31
+    lengths = {7: 1, 256 + 3: 2, 280 + slot: 2}
+    order, own = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15], {0: 1, 1: 2, 2: 2}
+    code = [(0, 1), (1, 4), *[(own.get(k, 0), 3) for k in order[:5]], (0, 1)]  # five lengths of the code for lengths: 17, 18, 0, 1, 2
+    code += [({0: 0, 1: 1, 2: 3}[lengths.get(k, 0)], own[lengths.get(k, 0)]) for k in range(282)]
+    data = assembled(7, 1, [(0, 1), (1, 1), (1, 4), (0, 1), *code, *lone(1), *lone(2), *lone(255), *lone(1), (0, 1), (3, 2), (1, 2)])
+    assert webp.read_file(data).tolist() == [[[255, 1, 7, 2]] * 7]
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
