@@ -30,8 +30,8 @@ from .token_counts import byte_alphabet
 WINDOW = 2048
 END_ID = 1
 BUCKET_ROWS = 20_000
-#: Words whose ids a task remembers at most, twice over; the memory starts anew when it is full.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers at most, twice over, and their length in bytes; the memory starts anew when it is full.
+REMEMBERED, REMEMBERED_BYTES = 80_000, 40
 #: Words of printable ASCII and the letters of Latin-1: normal form C leaves them as they are.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the tokenizer file's splitting pattern, for lower-cased plain words.
@@ -64,7 +64,8 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
             got = older[1].get(p)
             if got is None:
                 got = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
-            pieces[p] = got
+            if len(p) <= REMEMBERED_BYTES:
+                pieces[p] = got
         return got
 
     def plain(word: str) -> bytes:
@@ -77,7 +78,9 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
     def ids(text: bytes) -> bytes:
         words = text.split()
         distinct = set(words)
-        if len(known) + len(distinct) > REMEMBERED:
+        if len(known) > REMEMBERED:
+            for w in [w for w in known if len(w) > REMEMBERED_BYTES]:
+                del known[w]
             older[0] = dict(known)
             known.clear()
         others = []
