@@ -66,15 +66,17 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes]], dict[str
     kept = [df.schema[c] for c in keep]
     schema = T.StructType([*kept, *found.fields])
     names = [f.name for f in found.fields]
+    shipped = f"__k{keep.index(text)}" if text in keep else "__text"  # a text that is kept is sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "__text", most_bytes):
-                got = work(text_bytes(part.column("__text")))
+            for part in slices(batch, shipped, most_bytes):
+                got = work(text_bytes(part.column(shipped)))
                 yield pa.RecordBatch.from_arrays([*(part.column(f"__k{i}") for i in range(len(keep))), *(got[n] for n in names)], names=[*keep, *names])
 
-    return df.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    own = [] if text in keep else [F.col(f"`{text}`").alias("__text")]
+    return df.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)), *own).mapInArrow(run, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

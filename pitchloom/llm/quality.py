@@ -78,8 +78,8 @@ def breaks(limits: dict[str, int]) -> Column:
     return over | (F.col("word_chars") < low * F.col("n_words")) | (F.col("word_chars") > high * F.col("n_words"))
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return map_texts(docs, lambda: measure, ", ".join(f"{c} long" for c in METRICS), keep)
+def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    return map_texts(docs, lambda: measure, ", ".join(f"{c} long" for c in METRICS), keep, text)
 
 
 def host_rates(metrics: DataFrame, host: str) -> DataFrame:
@@ -117,9 +117,11 @@ def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that stay, with the columns of docs. Texts are measured twice rather than shuffled."""
-    rows = docs.select(F.struct("*").alias("__row"), F.col(host).alias("__source"), "text")  # in a struct, so that no name clashes
-    rates = cut(host_rates(measured(rows, ["__source"]), "__source"))
-    return judged(measured(rows, ["__row", "__source"]), rates, "__source").where("kept").select("__row.*")
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # so that no name clashes
+    rows = docs.toDF(*names)
+    text, source = (names[docs.columns.index(c)] for c in ("text", host))
+    rates = cut(host_rates(measured(rows, [source], text), source))
+    return judged(measured(rows, names, text), rates, source).where("kept").select(*names).toDF(*docs.columns)
 
 
 BASE_SQL = r"""
