@@ -149,6 +149,15 @@ def test_same_passages_for_any_partitioning_and_texts_of_one_id(spark):
     one = {tuple(r) for r in passages.removals(docs.coalesce(1)).collect()}
     many = {tuple(r) for r in passages.removals(docs.repartition(37)).collect()}
     assert one == many and one
+    first, gone = {}, {}
+    texts = {r.doc_id: r.text.split() for r in docs.collect()}
+    for r in one:
+        gone.setdefault(r[0], set()).update(range(r[1], r[2]))
+    for i in sorted(texts):  # every window of fifty words that an earlier document holds lies in what is removed
+        for k in range(len(texts[i]) - 49):
+            window = tuple(texts[i][k : k + 50])
+            if first.setdefault(window, i) < i:
+                assert set(range(k, k + 50)) <= gone[i]
     passage = words(70, 99)
     texts = [f"{words(40, 404)} {passage}", f"{passage} {words(200, 405)}", words(60, 406), f"{words(40, 407)} {passage}"]
     got = passages.without_repeats(frame(spark, texts, [0, 1, 1, 1])).collect()
