@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, evaluation, feeds, form, learning, names, rating, results, slates, tickets  # noqa: F401  they register their plans
+from . import decisions, entities, evaluation, feeds, form, learning, names, rating, results, slates, tickets  # noqa: F401  they register their plans
 from .core import PLANS, SQL, Plan
 
 
