@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most doubles, most triples, most combinations and the price, by product.
 LIMITS = {"weekend": (8, 5, 324, 15.0), "midweek": (3, 2, 72, 15.0), "revancha": (3, 2, 72, 5.0)}
@@ -70,15 +72,153 @@ def assignment(options: list[tuple[float, float]], doubles: int, triples: int) -
     return list(winner), top_value
 
 
+def extended(pmf: list[float], p: float) -> list[float]:
+    """A distribution of hits after one more pick of chance p."""
+    return [a * (1 - p) + b * p for a, b in zip([*pmf, 0.0], [0.0, *pmf])]
+
+
+def coverage_plan(options: list[tuple[float, float]], doubles: int, triples: int, need: int) -> tuple[list[str], float, float]:
+    """Kinds, chance of `need` hits or more, expected hits: each state (doubles, triples used) keeps the distribution with the best tail, so the result is near the best rather than the best."""
+    tail = lambda pmf: 1.0 if need <= 0 else sum(pmf[need:])
+    states: dict[tuple[int, int], tuple[list[float], tuple]] = {(0, 0): ([1.0], ())}
+    for top, second in options:
+        chances = (("fixed", 0, 0, min(max(top, 0.0), 1.0)), ("double", 1, 0, min(max(top + second, 0.0), 1.0)), ("triple", 0, 1, 1.0))
+        new: dict[tuple[int, int], tuple[list[float], tuple]] = {}
+        for (d, t), (pmf, kinds) in sorted(states.items()):
+            for kind, dd, dt, p in chances:
+                key = (d + dd, t + dt)
+                if key[0] <= doubles and key[1] <= triples:
+                    longer = extended(pmf, p)
+                    if key not in new or tail(longer) > tail(new[key][0]):
+                        new[key] = (longer, (*kinds, kind))
+        states = new
+    best, chosen, kinds = -1.0, [1.0], ()
+    for _, (pmf, k) in sorted(states.items()):
+        if tail(pmf) > best:
+            best, chosen, kinds = tail(pmf), pmf, k
+    return list(kinds), best, sum(k * v for k, v in enumerate(chosen))
+
+
+def least_budget(options: list[tuple[float, float]], target: float, need: int, doubles: int, triples: int) -> tuple[int, int, float, bool]:
+    """The first budget, few triples before few doubles, that reaches the target; else the best one."""
+    best = (0, 0, -1.0)
+    for t in range(triples + 1):
+        for d in range(doubles + 1):
+            chance = coverage_plan(options, d, t, need)[1]
+            if chance > best[2]:
+                best = (d, t, chance)
+            if chance >= target:
+                return d, t, chance, True
+    return *best, False
+
+
+def by_slate(rows: DataFrame, columns: list[str], work: Callable[[tuple], list[tuple]], schema: str) -> DataFrame:
+    """Runs a plain function on each slate's positions in order. A slate is one row with its 14 positions at most, so many slates pass in a batch."""
+    slates = rows.groupBy("slate_id").agg(F.array_sort(F.collect_list(F.struct("position", *columns))).alias("p"))
+    kind = T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for slate, positions in zip(batch.column("slate_id").to_pylist(), batch.column("p").to_pylist(), strict=True):
+                out += work((slate, [tuple(x[c] for c in ("position", *columns)) for x in positions]))
+            values = list(zip(*out, strict=True)) if out else [[]] * len(kind)
+            types = {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, types[f.dataType.simpleString()]) for v, f in zip(values, kind)], names=kind.names)
+
+    return slates.mapInArrow(run, kind)
+
+
 def optimised(rows: DataFrame, doubles: int, triples: int) -> DataFrame:
-    """slate_id, position, decision and the slate's log chance of going clean (K01). A slate has 14 positions at most; slates are independent groups."""
+    """slate_id, position, decision and the slate's log chance of going clean."""
+
+    def work(slate: tuple) -> list[tuple]:
+        slate_id, positions = slate
+        kinds, value = assignment([(t, s) for _, t, s in positions], doubles, triples)
+        return [(slate_id, p[0], k, value) for p, k in zip(positions, kinds, strict=True)]
+
+    return by_slate(rows, ["top", "second"], work, "slate_id long, position long, decision string, log_clean double")
+
+
+def covered_plans(rows: DataFrame, doubles: int, triples: int, share: float = 0.9) -> DataFrame:
+    """slate_id, position, decision, and the slate's chance of a share of hits and expected hits."""
+
+    def work(slate: tuple) -> list[tuple]:
+        slate_id, positions = slate
+        kinds, chance, expected = coverage_plan([(t, s) for _, t, s in positions], doubles, triples, math.ceil(share * len(positions)))
+        return [(slate_id, p[0], k, chance, expected) for p, k in zip(positions, kinds, strict=True)]
+
+    return by_slate(rows, ["top", "second"], work, "slate_id long, position long, decision string, chance double, expected double")
+
+
+def budgets(rows: DataFrame, target: float, doubles: int, triples: int, share: float = 0.6) -> DataFrame:
+    """Per slate the least doubles and triples that reach the target."""
+
+    def work(slate: tuple) -> list[tuple]:
+        slate_id, positions = slate
+        return [(slate_id, *least_budget([(t, s) for _, t, s in positions], target, math.ceil(share * len(positions)), doubles, triples))]
+
+    return by_slate(rows, ["top", "second"], work, "slate_id long, doubles_needed long, triples_needed long, chance double, target_reached boolean")
+
+
+#: Budgets by product: doubles of the doubles-only ticket, doubles and triples of the full one. Chances from which a draw is live.
+BUDGETS = {"weekend": (8, 2, 4), "midweek": (3, 3, 2), "revancha": (3, 3, 2)}
+LIVE_DRAW, STRONG_DRAW = 0.25, 0.30
+RANK = {"fixed": 1, "double": 2, "triple": 3}
+
+
+def ticket_ranks(p: list[tuple[float, float, float]], week: str) -> tuple[list[int], list[int]]:
+    """Coverage (1 to 3 signs) of each position in the doubles-only and in the full ticket.
+
+    Plans by K01; the full ticket never covers less than the other (K08); triples that are left go to live draws that nothing covers, the strongest first (K10); then coverage is taken back
+    until the ticket is one that can be bought, what no plan asked for first, then the least probable sign (K09).
+    """
+    order = [sorted(range(3), key=lambda s: -x[s]) for x in p]
+    ranked = [(x[o[0]], x[o[1]], x[o[2]]) for x, o in zip(p, order)]
+    most_doubles, both_doubles, both_triples = BUDGETS[week]
+    plan = lambda d, t: [RANK[k] for k in assignment([(a, b) for a, b, _ in ranked], d, t)[0]]
+    doubles, planned = plan(most_doubles, 0), plan(both_doubles, both_triples)
+    full = [max(a, b) for a, b in zip(planned, doubles)]
+    left = both_triples - sum(r == 3 for r in planned)
+    uncovered = [i for i, x in enumerate(p) if x[1] >= LIVE_DRAW and 1 not in order[i][: doubles[i]] and 1 not in order[i][: full[i]]]
+    for i in sorted(uncovered, key=lambda i: (-p[i][1], i))[: max(0, left)]:
+        full[i] = 3
+    high = LIMITS[week]
+    for ranks, own in ((doubles, doubles[:]), (full, planned)):
+        while True:
+            d, t = ranks.count(2), ranks.count(3)
+            if d <= high[0] and t <= high[1] and 2**d * 3**t <= high[2]:
+                break
+            choices = [(own[i] >= r, ranked[i][r - 1], 2 / 3 if r == 3 else 1 / 2, i) for i, r in enumerate(ranks) if r > 1]
+            ranks[min(choices)[3]] -= 1
+    return doubles, full
+
+
+def legal_tickets(rows: DataFrame) -> DataFrame:
+    """slate_id, position, signs covered by the doubles-only and the full ticket, after all rules (K08 to K10). rows: slate_id, position, week_type, P."""
+
+    def work(slate: tuple) -> list[tuple]:
+        slate_id, positions = slate
+        doubles, full = ticket_ranks([x[2:] for x in positions], positions[0][1])
+        return [(slate_id, x[0], a, b) for x, a, b in zip(positions, doubles, full, strict=True)]
+
+    return by_slate(rows, ["week_type", "p_home", "p_draw", "p_away"], work, "slate_id long, position long, doubles_rank long, full_rank long")
+
+
+def draw_risk(rows: DataFrame) -> DataFrame:
+    """How likely a draw is, and which tickets cover it (K12). rows: match_id, P, doubles_rank, full_rank."""
+    h, d, a = (F.col(c) for c in ("p_home", "p_draw", "p_away"))
+    rank = 1 + (h > d).cast("int") + (a > d).cast("int")
+    place = rank + ((h == d).cast("int"))  # among equals, home stands before the draw
+    return rows.select("match_id", F.round(d, 4).alias("p_draw"), rank.alias("draw_rank"), (d >= LIVE_DRAW).alias("is_live_draw"), (d >= STRONG_DRAW).alias("is_strong_draw"), (place <= 1).alias("covered_simple"), (place <= F.col("doubles_rank")).alias("covered_doubles"), (place <= F.col("full_rank")).alias("covered_full"))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        kinds, value = assignment(list(zip(table.column("top").to_pylist(), table.column("second").to_pylist(), strict=True)), doubles, triples)
-        return pa.table({"slate_id": table.column("slate_id"), "position": table.column("position"), "decision": pa.array(kinds), "log_clean": pa.array([value] * len(kinds))})
 
-    return rows.select("slate_id", "position", "top", "second").groupBy("slate_id").applyInArrow(run, "slate_id long, position long, decision string, log_clean double")
+def ticket_totals(rows: DataFrame) -> DataFrame:
+    """Per slate: singles, doubles, triples, combinations and the positions that must not stay single but do (K16). rows: slate_id, position, rank, no_simple."""
+    return rows.groupBy("slate_id").agg(
+        F.count_if(F.col("rank") == 1).alias("simples"), F.count_if(F.col("rank") == 2).alias("doubles"), F.count_if(F.col("rank") == 3).alias("triples"), F.product("rank").cast("long").alias("combinations"),
+        F.count_if(F.col("no_simple") & (F.col("rank") == 1)).alias("uncovered_no_simple"), (F.count_if(F.col("no_simple") & (F.col("rank") == 1)) == 0).alias("covers_all_no_simple"),
+    )
 
 
 def risk_profile(rows: DataFrame) -> DataFrame:

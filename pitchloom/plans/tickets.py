@@ -8,7 +8,7 @@ from pitchloom.operators import tickets
 from pitchloom.sources import derive
 
 from .core import plan
-from .decisions import INPUTS, banded
+from .decisions import INPUTS, banded, inputs
 from .evaluation import SAMPLES, samples
 
 PMF = """,
@@ -44,6 +44,50 @@ def optimised_ticket(spark, sf_dir):
     return found.withColumn("log_clean", F.round("log_clean", 9))
 
 
+@plan("k02_covered_plans")
+def covered_plans(spark, sf_dir):
+    found = tickets.covered_plans(samples(spark, sf_dir), 3, 2)
+    return found.withColumns({"chance": F.round("chance", 9), "expected": F.round("expected", 9)})
+
+
+@plan("k03_least_budgets")
+def least_budgets(spark, sf_dir):
+    return tickets.budgets(samples(spark, sf_dir), 0.8, 3, 2).withColumn("chance", F.round("chance", 9))
+
+
+def weekly(spark, sf_dir):
+    kind = F.when(F.col("slate_id") % 3 == 0, "weekend").when(F.col("slate_id") % 3 == 1, "midweek").otherwise("revancha")
+    return inputs(spark, sf_dir).withColumn("week_type", kind)
+
+
+@plan("k09_legal_tickets")
+def legal_tickets(spark, sf_dir):
+    return tickets.legal_tickets(weekly(spark, sf_dir))
+
+
+@plan(
+    "k12_draw_risks",
+    INPUTS
+    + """, dr AS (SELECT *, 1 + (p_home > p_draw)::INT + (p_away > p_draw)::INT AS k, 1 + (p_home >= p_draw)::INT + (p_away > p_draw)::INT AS place, 1 + position % 2 AS dbl, 1 + position % 3 AS ful FROM i)
+SELECT match_id, round(p_draw, 4) AS p_draw, k AS draw_rank, p_draw >= 0.25 AS is_live_draw, p_draw >= 0.3 AS is_strong_draw, place <= 1 AS covered_simple, place <= dbl AS covered_doubles, place <= ful AS covered_full FROM dr""",
+)
+def draw_risks(spark, sf_dir):
+    rows = inputs(spark, sf_dir).withColumns({"doubles_rank": 1 + F.col("position") % 2, "full_rank": 1 + F.col("position") % 3})
+    return tickets.draw_risk(rows)
+
+
+@plan(
+    "k16_ticket_totals",
+    INPUTS
+    + """, tt AS (SELECT slate_id, 1 + position % 3 AS rank, match_id % 4 = 0 AS ns FROM i)
+SELECT slate_id, count(*) FILTER (WHERE rank = 1) AS simples, count(*) FILTER (WHERE rank = 2) AS doubles, count(*) FILTER (WHERE rank = 3) AS triples, product(rank)::BIGINT AS combinations, count(*) FILTER (WHERE ns AND rank = 1) AS uncovered_no_simple,
+  count(*) FILTER (WHERE ns AND rank = 1) = 0 AS covers_all_no_simple FROM tt GROUP BY 1""",
+)
+def ticket_totals(spark, sf_dir):
+    rows = inputs(spark, sf_dir).select("slate_id", "position", (1 + F.col("position") % 3).alias("rank"), (F.col("match_id") % 4 == 0).alias("no_simple"))
+    return tickets.ticket_totals(rows)
+
+
 @plan(
     "k11_risk_profile",
     INPUTS
