@@ -116,6 +116,39 @@ def context_results(played: DataFrame, per_team: int = 5) -> DataFrame:
     return once.select("match_id", "past_match_id", "is_h2h", F.row_number().over(order).cast("long").alias("rank"))
 
 
+def model_features(played: DataFrame, windows: DataFrame, told: DataFrame, last: int = 8, last_meetings: int = 5) -> DataFrame:
+    """The feature vector of each match as of its kickoff (E04): form over the competition's window, meetings, narrative signals, and what is known of the match.
+
+    windows: competition_id, window_days; told: match_id, the signals of texts and reports, evidence_count.
+    """
+    sides = with_past(team_rows(played).join(windows, "competition_id"), ["team_id"], ["goals_for", "goals_against", "points"], last)
+    sides = sides.withColumn("past", F.expr(f"filter(past, x -> at - x.at <= window_days * {DAY})"))
+    total = lambda v: F.aggregate("past", F.lit(0).cast("long"), lambda t, x: t + x[v])
+    rest = F.coalesce(F.round((F.col("at") - F.try_element_at("past", F.lit(-1))["at"]) / DAY, 2), F.lit(7.0))
+    form = sides.select("match_id", "is_home", F.size("past").cast("long").alias("n"), total("points").alias("p"), total("goals_for").alias("gf"), total("goals_against").alias("ga"), rest.alias("rest")).withColumn("gb", F.col("gf") - F.col("ga"))
+    rates = {"points": "p", "goal_balance": "gb", "goals_for": "gf", "goals_against": "ga"}
+
+    def side(name: str) -> DataFrame:
+        own = form.where(F.col("is_home") == F.lit(name == "home"))
+        return own.select("match_id", *(per_match(c).alias(f"{name}_{n}_per_match") for n, c in rates.items()), F.col("n").cast("double").alias(f"{name}_recent_matches"), F.col("rest").alias(f"{name}_rest"))
+
+    met = head_to_head(played, last_meetings)
+    meetings_ = met.select("match_id", F.col("meetings").cast("double").alias("head_to_head_matches"), per_match_of(3 * (F.col("home_wins") - F.col("away_wins"))).alias("head_to_head_points_gap"), per_match_of(F.col("goal_balance")).alias("head_to_head_goal_balance_gap"))
+    own = played.select("match_id", (F.col("home_team_id") % 3 == F.col("away_team_id") % 3).cast("double").alias("same_country_matchup"), (F.col("match_id") % 2 == 0).cast("double").alias("venue_known"), F.lit(1.0).alias("home_advantage"))
+    rows = side("home").join(side("away"), "match_id").join(meetings_, "match_id").join(told, "match_id").join(own, "match_id")
+    gap = lambda c: F.round(F.col(f"home_{c}") - F.col(f"away_{c}"), 4)
+    signals = [c for c in told.columns if c.endswith(("_signals", "_signal_total"))]
+    return rows.select(
+        "match_id", *(c for s in ("home", "away") for c in (*(f"{s}_{n}_per_match" for n in rates), f"{s}_recent_matches")), gap("points_per_match").alias("form_gap"), gap("goal_balance_per_match").alias("goal_balance_gap"), F.round(F.col("home_rest") - F.col("away_rest"), 2).alias("rest_gap_days"),
+        "head_to_head_matches", "head_to_head_points_gap", "head_to_head_goal_balance_gap", F.col("evidence_count").cast("double").alias("evidence_count"), *(F.col(c).cast("double").alias(c) for c in signals), F.col("home_availability_impact").alias("home_context_signal"),
+        F.col("away_availability_impact").alias("away_context_signal"), "same_country_matchup", "venue_known", "home_advantage",
+    )
+
+
+def per_match_of(total: Column) -> Column:
+    return F.when(F.col("meetings") > 0, F.round(total / F.col("meetings"), 4)).otherwise(F.lit(0.0))
+
+
 def cadence(matches: DataFrame, least_matches: int = 4) -> DataFrame:
     """Per competition: the median positive gap in days between a team's fixtures, over teams with least_matches or more; the form window and the
     matching tolerance that follow from it (E01, E02, E03). Fixtures count whether or not they have a result."""

@@ -115,14 +115,20 @@ def draw_calibrated(spark, sf_dir):
     return found.select("match_id", *(F.round(p, 6).alias(p) for p in decisions.P), "draw_lifted", "draw_reason")
 
 
-@plan(
-    "j16_presentation_guard",
+GUARDED = (
     DRAWN
     + """,
 gd AS (SELECT *, list_filter([CASE WHEN status = 'BLOQUEADO' THEN 'blocked' END, CASE WHEN status = 'REVISAR' THEN 'review' END, CASE WHEN risk = 'high' THEN 'risk_high' END, CASE WHEN strategy = 'NO_DEJAR_SIMPLE' THEN 'no_dejar_simple' END,
   CASE WHEN strategy NOT IN ('SIMPLE', 'NO_DEJAR_SIMPLE') THEN 'requires_coverage' END, CASE WHEN suspicious THEN 'suspicious_class' END, CASE WHEN fallback_used AND level = 'low' THEN 'fallback_low_evidence' END], lambda f: f IS NOT NULL) AS reasons FROM dl),
 ge AS (SELECT *, strategy = 'SIMPLE' AND len(reasons) = 0 AS simple_allowed FROM gd)
-SELECT match_id, simple_allowed, array_to_string(reasons, ',') AS reasons, CASE WHEN status = 'BLOQUEADO' THEN 'blocked' WHEN fallback_used AND extreme AND level = 'low' AND NOT simple_allowed THEN 'unreliable' WHEN status = 'REVISAR' THEN 'review'
+"""
+)
+
+
+@plan(
+    "j16_presentation_guard",
+    GUARDED
+    + """SELECT match_id, simple_allowed, array_to_string(reasons, ',') AS reasons, CASE WHEN status = 'BLOQUEADO' THEN 'blocked' WHEN fallback_used AND extreme AND level = 'low' AND NOT simple_allowed THEN 'unreliable' WHEN status = 'REVISAR' THEN 'review'
   WHEN top > cap + 1e-6 OR extreme THEN 'review' WHEN level = 'low' OR draw_lifted OR (fallback_used AND band = 'high') THEN 'low' WHEN band = 'high' AND NOT simple_allowed THEN 'review' ELSE band END AS shown_band FROM ge""",
 )
 def presentation_guard(spark, sf_dir):
