@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 def csv_documents(spark: SparkSession, path: str) -> DataFrame:
     """One document a row; alternative headers are tried in order."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, escape='"')
     pick = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(None).cast("string"))
     return rows.select(pick("title", "match").alias("title"), pick("summary").alias("summary"), pick("url").alias("url"), pick("home_team").alias("home_team"), pick("away_team").alias("away_team"), pick("competition").alias("competition"))
 
@@ -27,10 +27,12 @@ def rss_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def season_results(spark: SparkSession, path: str) -> DataFrame:
     """Season files with either set of headers; three date formats, blank dates null."""
-    rows = spark.read.csv(path, header=True)
+    rows = spark.read.csv(path, header=True, escape='"')
     pick = lambda *names: F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(None).cast("string"))
     date = pick("Date")
-    played = F.coalesce(*(F.try_to_timestamp(date, F.lit(f)) for f in ("dd/MM/yyyy", "dd/MM/yy", "yyyy-MM-dd")))
+    read = lambda f: F.try_to_timestamp(date, F.lit(f))
+    short = read("dd/MM/yy")  # of two digits, 69 and more are of the last century
+    played = F.coalesce(read("dd/MM/yyyy"), F.when(F.year(short) >= 2069, short - F.expr("INTERVAL 100 YEAR")).otherwise(short), read("yyyy-MM-dd"))
     goals = lambda *n: pick(*n).try_cast("int")
     return rows.select(pick("Div", "League").alias("competition"), pick("HomeTeam", "Home").alias("home_team"), pick("AwayTeam", "Away").alias("away_team"), goals("FTHG", "HG").alias("home_goals"), goals("FTAG", "AG").alias("away_goals"), played.alias("played_at"))
 
