@@ -330,7 +330,7 @@ def read_fast(bits: Bits, width: int, n: int, group: list[Code], cache_bits: int
     token = codes[0].symbol[window[at] & mask]
     value = (token.astype(np.uint32) & np.uint32(255)) << np.uint32(8)
     for k, shift in ((1, 16), (2, 0), (3, 24)):
-        if own[k - 1] is not None:
+        if own[k - 1] is not None and any(c.bits for c in codes[k:]):
             at = np.minimum(at + own[k - 1][at], last)
         value |= codes[k].symbol[window[at] & ((1 << codes[k].bits) - 1)].astype(np.uint32) << np.uint32(shift) if codes[k].bits else np.uint32(int(codes[k].symbol[0]) << shift)
     if cache_bits:
@@ -638,8 +638,8 @@ def cache_hits(image: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarr
     return slot, hit
 
 
-def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies: int = 0, cache_bits: int = 0) -> None:
-    """image: ARGB pixels. copies: writes stretches of so many pixels (a power of two) or more that stand before as back-references; cache_bits: uses a colour cache."""
+def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies: int = 0, cache_bits: int = 0, grey: bool = False) -> None:
+    """image: ARGB pixels; grey: only green varies. copies: writes stretches of so many pixels (a power of two) or more that stand before as back-references; cache_bits: uses a colour cache."""
     out.write(1 | cache_bits << 1, 5) if cache_bits else out.write(0, 1)
     if main:
         out.write(0, 1)
@@ -649,20 +649,24 @@ def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies:
         stays[i : i + length] = False
     place = np.flatnonzero(stays)
     plain = image[place]
-    channel = [(plain >> s & 0xFF).astype(np.int64) for s in (8, 16, 0, 24)]  # green, red, blue, alpha
-    literal = np.ones(len(place), dtype=bool)
-    token = channel[0].copy()
+    same = [int(image[0]) >> s & 0xFF if grey else None for s in (16, 0, 24)]  # red, blue, alpha where they do not vary
+    channel = [(plain >> 8 & 0xFF).astype(np.int64), *((plain >> s & 0xFF).astype(np.int64) if v is None else None for s, v in zip((16, 0, 24), same))]
+    literal, token = np.ones(len(place), dtype=bool), channel[0]
     if cache_bits:
+        token = token.copy()
         slot, hit = cache_hits(image, cache_bits)
         literal = ~hit[place]
         token[~literal] = ALPHABETS[0] + slot[place][~literal]
     lengths = [prefix_of(n) for _, n, _ in back]
     distances = [prefix_of(distance_code(d, width)) for _, _, d in back]
     size = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
-    codes = [write_code(out, np.bincount(np.concatenate([token, np.array([256 + s for s, _, _ in lengths], dtype=np.int64)]), minlength=size))]
-    for x, n in zip(channel[1:], ALPHABETS[1:4], strict=True):
-        if (x == x[0]).all():
-            out.write(5 | int(x[0]) << 3, 11)  # one symbol of eight bits
+    counts = np.bincount(token, minlength=size)
+    for s, _, _ in lengths:
+        counts[256 + s] += 1
+    codes = [write_code(out, counts)]
+    for x, v, n in zip(channel[1:], same, ALPHABETS[1:4], strict=True):
+        if v is not None or (x == x[0]).all():
+            out.write(5 | (int(x[0]) if v is None else v) << 3, 11)  # one symbol of eight bits
             codes.append((NOTHING, NOTHING))
         else:
             codes.append(write_code(out, np.bincount(x[literal], minlength=n)))
@@ -672,7 +676,7 @@ def write_image(out: Writer, image: np.ndarray, width: int, main: bool, copies:
     value, bits = (np.zeros((len(image), columns), dtype=np.int64) for _ in range(2))  # a row a pixel; copied ones have no bits
     for column, k in enumerate(shown):
         value[place, column] = codes[k][0][channel[k] if k else token]
-        bits[place, column] = np.where(literal, codes[k][1][channel[k]], 0) if k else codes[k][1][token]
+        bits[place, column] = codes[k][1][token] if not k else np.where(literal, codes[k][1][channel[k]], 0) if cache_bits else codes[k][1][channel[k]]
     for (i, _, _), *pair in zip(back, lengths, distances):
         for column, (s, extra, n), (code, size), first in zip((0, 1), pair, (codes[0], codes[4]), (256, 0)):
             value[i, column], bits[i, column] = int(code[first + s]) | extra << int(size[first + s]), size[first + s] + n
@@ -746,7 +750,7 @@ def write_samples(samples: np.ndarray) -> bytes:
     elif not cache_bits:
         out.write(1 | SUBTRACT_GREEN << 1, 3)
     out.write(0, 1)
-    write_image(out, image, width, True, copies, cache_bits)
+    write_image(out, image, width, True, copies, cache_bits, not cache_bits)
     return wrapped(out)
 
 
