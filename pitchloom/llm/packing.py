@@ -31,7 +31,9 @@ WINDOW = 2048
 END_ID = 1
 BUCKET_ROWS = 20_000
 #: Words whose ids a worker remembers at most, twice over, and their length in bytes; the memory starts anew when it is full.
-REMEMBERED, REMEMBERED_BYTES = 80_000, 40
+REMEMBERED, REMEMBERED_BYTES = 300_000, 40
+#: Pieces of words that it remembers at most, twice over: they serve words that were not seen with just this punctuation.
+PIECES_REMEMBERED = 100_000
 #: Words of printable ASCII and the letters of Latin-1: normal form C leaves them as they are.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the tokenizer file's splitting pattern, for lower-cased plain words.
@@ -51,29 +53,27 @@ def token_ids(path: str) -> Callable[[bytes], bytes]:
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     known: dict[bytes, bytes] = {}
-    pieces: dict[str, list[int]] = {}
+    pieces: dict[str, bytes] = {}
     older: list[dict] = [{}, {}]  # what was remembered before the last start anew: frequent words move over
     signs = {byte: sign for sign, byte in byte_alphabet().items()}
 
-    def piece(p: str) -> list[int]:
+    def piece(p: str) -> bytes:
         got = pieces.get(p)
         if got is None:
-            if len(pieces) > REMEMBERED:
+            if len(pieces) > PIECES_REMEMBERED:
                 older[1] = dict(pieces)
                 pieces.clear()
             got = older[1].get(p)
             if got is None:
-                got = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
+                found = [t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(signs))]
+                got = struct.pack(f"<{len(found)}I", *found)
             if len(p) <= REMEMBERED_BYTES:
                 pieces[p] = got
         return got
 
     def plain(word: str) -> bytes:
         """Ids of a word of PLAIN characters."""
-        found: list[int] = []
-        for p in PIECES.findall(word.lower()):
-            found += piece(p)
-        return struct.pack(f"<{len(found)}I", *found)
+        return b"".join(map(piece, PIECES.findall(word.lower())))
 
     def ids(text: bytes) -> bytes:
         words = text.split()
