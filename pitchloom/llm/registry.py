@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import near_dup, packing, passages, pii, quality, secret_scan, token_counts, toxicity, unigram, webp
+from . import importance, licenses, near_dup, packing, passages, pii, quality, secret_scan, token_counts, toxicity, unigram, vector_codes, webp
 from .common import documents
 
 
@@ -52,9 +52,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.drawn(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op8_webp, op9_near_dup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_secret_scan, op4_sentencepiece, op5_substring_dedup, op6_pii, op7_token_counts, op8_webp, op9_near_dup, op10_packing, op11_vector_codes, op12_importance, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE, "op9_near_dup": near_dup.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op9_near_dup": near_dup.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_importance": importance.ORACLE, "op13_license_scan": licenses.ORACLE}
