@@ -35,15 +35,17 @@ WIDE = 0xFEE0
 
 CHARACTERS = {x[0]: x[1] for x in LOOKALIKES.split()} | {chr(c + WIDE): chr(c) for c in range(33, 127)} | dict.fromkeys(INVISIBLE, "") | {"　": " "}
 ODD = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
-SIGN = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?", re.IGNORECASE)
+#: A-Z and a-z only: other letters that fold to them (long s, dotless i, the kelvin sign) are no letters of these words.
+FOLDED = re.IGNORECASE | re.ASCII
+SIGN = re.compile(r"[ ]?[\[({<][ ]?(?:(at|@)|dot|\.)[ ]?[\])}>][ ]?", FOLDED)
 #: Spelled at and dot are signs in the form of an address only: local part, at, labels with a dot; and between four numbers.
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-] dot )[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*?( at |@)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)+", re.IGNORECASE)
-SPOKEN_DOT = re.compile(" dot ", re.IGNORECASE)
-SPOKEN_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:(?: dot |\.)[0-9]++){3}", re.IGNORECASE)
+SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-] dot )[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9._%+-]++)*?( at |@)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)+", FOLDED)
+SPOKEN_DOT = re.compile(" dot ", FOLDED)
+SPOKEN_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:(?: dot |\.)[0-9]++){3}", FOLDED)
 DIGIT = "(?:" + "|".join(DIGIT_WORDS) + ")"
 #: Digit words beside each other, digits and dots: seven digits at least, or the four numbers of an address.
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGIT}(?![A-Za-z])|[0-9]++)(?:(?: dot |[ ().,-]{{0,3}})(?:(?<![A-Za-z]){DIGIT}(?![A-Za-z])|[0-9]++))+", re.IGNORECASE)
-SPELLED_DIGIT = re.compile(rf"{DIGIT}|[0-9]+", re.IGNORECASE)
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGIT}(?![A-Za-z])|[0-9]++)(?:(?: dot |[ ().,-]{{0,3}})(?:(?<![A-Za-z]){DIGIT}(?![A-Za-z])|[0-9]++))+", FOLDED)
+SPELLED_DIGIT = re.compile(rf"{DIGIT}|[0-9]+", FOLDED)
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -218,4 +220,4 @@ def masked(docs: DataFrame) -> DataFrame:
     out = map_texts(docs, make, "text string", others)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

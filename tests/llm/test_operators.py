@@ -62,6 +62,32 @@ def test_stages_keep_columns_and_clean_rows(spark, stage):
     assert stage(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("stage", [quality.apply_rules, near_dup.deduplicated, passages.without_repeats, pii.masked])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    texts = [words(120, 1), words(60, 2) + " " + words(70, 9), words(60, 3) + " " + words(70, 9), None]
+    names = ["a.b", "__gone", "__id", "spans", "c1", "__rate", "__k0", "rid", "hub", "place s"]
+    docs = frame(spark, texts).selectExpr("*", *(f"doc_id + {k} as `{c}`" for k, c in enumerate(names)))
+    got = stage(docs)
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    for r in got.collect():
+        assert [r[c] for c in names] == [r.doc_id + k for k in range(len(names))]
+
+
+@pytest.mark.parametrize("text", ["\u017fix five five one two three four nine", "f\u0131ve five five one two three four nine", "call \u017feven eight nine one two three four five"])
+def test_letters_that_fold_to_ascii_are_no_spelled_digits(text):
+    base, found = pii.detect(text)
+    assert base == [] and all(s >= text.index(" ") for _, s, _ in found)
+
+
+@pytest.mark.parametrize("shape", ["plus {0}ne five five five one two three four nine", "a {0}t example d{0}t com", "a [{0}t] example [d{0}t] com", "call f{0}ve s{0}x one two three four five nine", "1 d{0}t 2 d{0}t 3 d{0}t 4"])
+def test_no_letter_of_unicode_breaks_the_transducers(shape):
+    import unicodedata
+
+    for c in map(chr, range(0x110000)):
+        if unicodedata.category(c).startswith("L") and (c.lower().isascii() or c.upper().isascii() or c.casefold().isascii()):
+            pii.detect(shape.format(c))
+
+
 def test_quality_sql(spark):
     import duckdb
 
