@@ -73,6 +73,14 @@ def test_stages_keep_columns_of_any_name(spark, stage):
         assert [r[c] for c in names] == [r.doc_id + k for k in range(len(names))]
 
 
+def test_passages_of_two_documents_side_by_side_link_both(spark):
+    one, two = words(60, 21), words(60, 22)
+    got = passages.removals(frame(spark, [words(9, 1), one + " " + words(30, 2), two + " " + words(30, 3), two + " " + one])).collect()
+    assert {r.cluster_id for r in got if r.doc_id == 3} == {1} and [(r.doc_id, r.source_id, r.n_words) for r in got] == [(3, 1, 120)]
+    chained = passages.removals(frame(spark, [words(9, 1), one, two, two + " " + one, words(60, 23) + " " + two, words(60, 23)])).collect()
+    assert {r.cluster_id for r in chained} == {1}  # 5 is linked to 4, 4 to 2, 3 to both 2 and 1
+
+
 @pytest.mark.parametrize("text", ["\u017fix five five one two three four nine", "f\u0131ve five five one two three four nine", "call \u017feven eight nine one two three four five"])
 def test_letters_that_fold_to_ascii_are_no_spelled_digits(text):
     base, found = pii.detect(text)
