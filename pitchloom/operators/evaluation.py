@@ -57,23 +57,26 @@ def draw_priors(rows: DataFrame, fallback: float = 0.27, full: int = 150) -> Dat
     return counts.select("week_type", "n", F.round(w * F.col("draws") / F.col("n") + (1 - w) * fallback, 4).alias("prior"), confidence.alias("confidence"), F.when(w >= 1, "observed").otherwise("blended").alias("origin"))
 
 
-def isotonic(points: DataFrame) -> DataFrame:
-    """Breakpoints of the non-decreasing fit of y on x for each key (I19): key, x, y.
+def isotonic(points: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """Breakpoints of the non-decreasing fit of y on x for each key (I19): the keys, x (the greatest of a pool) and y.
 
-    Rows with an equal x are first summed, so a key's fit gets as many rows as there are distinct x (callers round x); neighbours are then pooled while they fall.
+    x is rounded to three decimals, as probabilities are shown; rows with an equal x are first summed, so a fit gets at most 1,001 rows of probabilities however many matches there are. Neighbours are
+    then pooled while they fall; equal ones stay apart.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
 
     def pool(table: pa.Table) -> pa.Table:
-        blocks: list[list[float]] = []  # weight, sum of y, sum of x
+        blocks: list[list[float]] = []  # weight, sum of y, greatest x
         for x, n, y in sorted(zip(*(table.column(c).to_pylist() for c in ("x", "n", "y")), strict=True)):
-            blocks.append([n, y, x * n])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] > blocks[-1][1] / blocks[-1][0]:
-                last = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-        return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(blocks)), "x": pa.array([b[2] / b[0] for b in blocks]), "y": pa.array([b[1] / b[0] for b in blocks])})
-
-    sums = points.groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("double")).alias("y"))
-    return sums.groupBy("key").applyInArrow(pool, "key string, x double, y double")
+            blocks.append([n, y, x])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] > blocks[-1][1] * blocks[-2][0]:
+                n, y, x = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + n, blocks[-1][1] + y, x]
+        own = {k: pa.array([table.column(k)[0].as_py()] * len(blocks), table.schema.field(k).type) for k in keys}
+        return pa.table(own | {"x": pa.array([b[2] for b in blocks]), "y": pa.array([b[1] / b[0] for b in blocks])})
+
+    sums = points.groupBy(*keys, F.round("x", 3).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("double")).alias("y"))
+    return sums.groupBy(*keys).applyInArrow(pool, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x double, y double"]))
 
 
 def interpolated(curve: Column, x: Column) -> Column:

@@ -153,6 +153,12 @@ def blended(fixtures: DataFrame, teams: DataFrame, competitions: DataFrame, prio
     side = lambda s: strengths.select(F.col("team_id").alias(f"{s}_team_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("rating", "offense", "defense", f"s_{s}")))
     rows = fixtures.select("match_id", "competition_id", "home_team_id", "away_team_id").join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left")
     rows = rows.join(competitions.select("competition_id", "home_bonus", "home_rate", "away_rate"), "competition_id", "left").join(F.broadcast(priors))
+    return with_priors(blend_scores(rows, weights))
+
+
+def blend_scores(rows: DataFrame, weights: dict[str, float] = BLEND) -> DataFrame:
+    """rows with r_home, r_draw, r_away: the blend before priors and curves (I07). rows: both sides' ratings, strengths and profile strengths, the competition's home bonus and scoring rates, league_draw_rate."""
+    own = rows.columns
     or_ = lambda c, x: F.coalesce(F.col(c), F.lit(x))
     by_elo = 1 / (1 + F.pow(F.lit(10.0), (or_("away_rating", BASE) - or_("home_rating", BASE) - or_("home_bonus", HOME_EDGE)) / 400))
     positive = lambda c: F.greatest(or_(c, 1.0), F.lit(0.05))
@@ -163,9 +169,13 @@ def blended(fixtures: DataFrame, teams: DataFrame, competitions: DataFrame, prio
     edge = F.least(F.greatest(or_("home_s_home", 0.0) - or_("away_s_away", 0.0), F.lit(-1.5)), F.lit(1.5))
     decisive = F.col("grid.home") + F.col("grid.away")
     share = weights["elo"] * F.col("by_elo") + weights["poisson"] * F.when(decisive > 0, F.col("grid.home") / decisive).otherwise(F.lit(0.5)) + weights["profile"] / (1 + F.exp(-1.35 * edge))
-    rows = rows.select("match_id", "prior_home", "prior_draw", "prior_away", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"), F.least(F.greatest(F.col("grid.draw"), F.lit(0.08)), F.lit(0.42)).alias("draw"))
-    raw = {"home": F.col("share") * (1 - F.col("draw")), "draw": F.col("draw"), "away": (1 - F.col("share")) * (1 - F.col("draw"))}
-    mixed = {k: (1 - PRIOR_SHARE) * p + PRIOR_SHARE * F.col(f"prior_{k}") for k, p in raw.items()}
+    rows = rows.select(*own, F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"), F.least(F.greatest(F.col("grid.draw"), F.lit(0.08)), F.lit(0.42)).alias("draw"))
+    return rows.select(*own, (F.col("share") * (1 - F.col("draw"))).alias("r_home"), F.col("draw").alias("r_draw"), ((1 - F.col("share")) * (1 - F.col("draw"))).alias("r_away"))
+
+
+def with_priors(rows: DataFrame) -> DataFrame:
+    """match_id, p_home, p_draw, p_away: raw scores drawn towards the class priors."""
+    mixed = {k: (1 - PRIOR_SHARE) * F.col(f"r_{k}") + PRIOR_SHARE * F.col(f"prior_{k}") for k in ("home", "draw", "away")}
     total = mixed["home"] + mixed["draw"] + mixed["away"]
     return rows.select("match_id", *((p / total).alias(f"p_{k}") for k, p in mixed.items()))
 

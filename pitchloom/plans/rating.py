@@ -79,12 +79,6 @@ def dixon_coles(spark, sf_dir):
     return grid.select("competition_id", *(F.round(f"g.{k}", 6).alias(f"p_{k}") for k in ("home", "draw", "away")))
 
 
-@plan("d01_elo")
-def elo(spark, sf_dir):
-    found = rating.elo(derive.played(spark, sf_dir))
-    return found.select("match_id", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
-
-
 def team_table(played):
     """The newest rating, strengths and profile of each team."""
     rated = played.select("match_id", "kickoff_at", "home_team_id", "away_team_id").join(rating.elo(played), "match_id")

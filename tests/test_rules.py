@@ -138,16 +138,16 @@ def test_names_are_found_real_ones_first(spark):
 
 def test_isotonic_fit_against_plain_pooling(spark):
     r = random.Random(6)
-    points = [("k", r.randint(0, 30) / 30, r.randint(0, 1)) for _ in range(200)]
+    points = [("k", round(r.randint(0, 30) / 30, 3), r.randint(0, 1)) for _ in range(200)]
     blocks = []
     for x in sorted({x for _, x, _ in points}):
         y = [v for _, u, v in points if u == x]
-        blocks.append([len(y), sum(y), x * len(y)])
+        blocks.append([len(y), sum(y), x])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] > blocks[-1][1] / blocks[-1][0]:
             last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], last[2]]  # the right edge
     got = sorted((p.x, p.y) for p in evaluation.isotonic(spark.createDataFrame(points, "key string, x double, y int")).collect())
-    assert got == [(pytest.approx(b[2] / b[0]), pytest.approx(b[1] / b[0])) for b in blocks]
+    assert got == [(pytest.approx(b[2]), pytest.approx(b[1] / b[0])) for b in blocks]
     assert sum(b[1] for b in blocks) == sum(y for _, _, y in points)  # the mean is kept
 
 
