@@ -90,9 +90,14 @@ def shrinkage(draw_rate: Column, target: float = 0.22) -> tuple[Column, Column]:
 
 
 def candidates(fixtures: DataFrame, since_s: Column, until_s: Column) -> DataFrame:
-    """Fixtures of documents within a window, one for each competition and teams (case aside): with a position first, then the smallest position, earliest, by name."""
-    name = lambda c: F.lower(F.trim(c))
-    rows = fixtures.where((F.col("kickoff_s") >= since_s) & (F.col("kickoff_s") <= until_s) & (F.trim("home") != "") & (F.trim("away") != "") & (F.trim("competition") != ""))
-    order = F.struct(F.col("position").isNull().alias("none"), F.coalesce("position", F.lit(999)).alias("position"), "kickoff_s", "competition", "home", "away", "document_id")
-    best = rows.groupBy(name("competition").alias("c"), name("home").alias("h"), name("away").alias("a")).agg(F.min_by(F.struct("document_id", "competition", "home", "away", "position", "kickoff_s"), order).alias("r"))
+    """Fixtures of documents within a window, one for each competition and teams (case aside): with a position first, then the smallest position, earliest, by name.
+
+    A fixture without a competition has its document's (document_competition), else "Unknown Competition"; one that is blank beyond that, or lacks a team, is none. Position 0 comes last among positions. Names are trimmed.
+    """
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    of_document = [given("document_competition")] if "document_competition" in fixtures.columns else []
+    named = {"competition": F.trim(F.coalesce(given("competition"), *of_document, F.lit("Unknown Competition"))), "home": F.trim("home"), "away": F.trim("away")}
+    rows = fixtures.withColumns(named).where((F.col("kickoff_s") >= since_s) & (F.col("kickoff_s") <= until_s) & (F.col("home") != "") & (F.col("away") != "") & (F.col("competition") != ""))
+    order = F.struct(F.col("position").isNull().alias("none"), F.coalesce(F.nullif("position", F.lit(0)), F.lit(999)).alias("position"), "kickoff_s", "competition", "home", "away", "document_id")
+    best = rows.groupBy(*(F.lower(c).alias(c[0]) for c in named)).agg(F.min_by(F.struct("document_id", "competition", "home", "away", "position", "kickoff_s"), order).alias("r"))
     return best.select("r.*")

@@ -236,12 +236,14 @@ def due_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def signatures(fixtures: DataFrame) -> DataFrame:
-    """A digest of each draw's code and its ordered fixtures (H29): SHA-256 of JSON with spaces after commas and colons. A draw has few fixtures."""
-    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
-    row = F.concat(F.lit("["), F.col("x.position").cast("string"), F.lit(", "), text(F.col("x.home")), F.lit(", "), text(F.col("x.away")), F.lit("]"))
-    rows = fixtures.select("draw_code", "position", F.struct("position", "home", "away").alias("x")).select("draw_code", "position", row.alias("row"))
-    draws = rows.groupBy("draw_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "row"))), lambda x: x["row"]), ", ").alias("rows"))
-    return draws.select("draw_code", F.sha2(F.concat(F.lit('{"draw_code": "'), "draw_code", F.lit('", "fixtures": ['), "rows", F.lit("]}")), 256).alias("signature"))
+    """A digest of each draw's code and its ordered fixtures (H29): SHA-256 of JSON with spaces after commas and colons, names escaped, unknown values null. A draw has few fixtures; those without a position come first."""
+    quoted = lambda x: F.coalesce(F.to_json(F.array(x)), F.lit("[null]"))
+    inner = lambda x: F.expr(f"substring({x}, 2, length({x}) - 2)")
+    rows = fixtures.select("draw_code", "position", "home", "away", quoted(F.col("home")).alias("h"), quoted(F.col("away")).alias("a"))
+    row = F.concat(F.lit("["), F.coalesce(F.col("position").cast("string"), F.lit("null")), F.lit(", "), inner("h"), F.lit(", "), inner("a"), F.lit("]"))
+    rows = rows.select("draw_code", F.struct("position", "home", "away", row.alias("row")).alias("x"))
+    draws = rows.groupBy("draw_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), ", ").alias("rows")).withColumn("code", quoted(F.col("draw_code")))
+    return draws.select("draw_code", F.sha2(F.concat(F.lit('{"draw_code": '), inner("code"), F.lit(', "fixtures": ['), "rows", F.lit("]}")), 256).alias("signature"))
 
 
 def quality_score(rows: DataFrame) -> DataFrame:

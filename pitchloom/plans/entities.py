@@ -142,9 +142,10 @@ def provider_rows(spark, sf_dir):
     """Slate rows of every match, and provider fixtures of the same matches with other spellings, shifted dates, turned sides and lacking scores."""
     m = F.col("match_id")
     name = lambda c, word: F.concat(F.lit(word), F.col(c).cast("string"))
+    club = lambda c: F.substring(F.md5(F.col(c).cast("string")), 1, 9)  # noqa: E731  names as unlike each other as clubs' are
     rows = derive.matches(spark, sf_dir)
-    slate = rows.select(m.alias("row_id"), F.expr("match_id div 14").alias("slate_id"), name("home_team_id", "team-").alias("home"), name("away_team_id", "team-").alias("away"), name("competition_id", "league-").alias("competition"), F.to_date("kickoff_at").alias("date"))
-    home, away = name("home_team_id", "team-"), F.when(m % 6 == 0, name("away_team_id", "taem-")).otherwise(name("away_team_id", "team-"))
+    slate = rows.select(m.alias("row_id"), F.expr("match_id div 14").alias("slate_id"), club("home_team_id").alias("home"), club("away_team_id").alias("away"), name("competition_id", "league-").alias("competition"), F.to_date("kickoff_at").alias("date"))
+    home, away = club("home_team_id"), F.when(m % 6 == 0, F.concat(F.lit("-"), F.substring(club("away_team_id"), 2, 8))).otherwise(club("away_team_id"))
     turned = m % 11 == 0
     fixtures = rows.where("match_id % 8 <> 7").select(
         m.alias("fixture_id"), F.when(turned, away).otherwise(home).alias("home"), F.when(turned, home).otherwise(away).alias("away"), F.when(m % 5 == 0, name("competition_id", "league-femenil-")).otherwise(name("competition_id", "league-")).alias("competition"),
@@ -164,10 +165,36 @@ def fixture_matches(spark, sf_dir):
     return matching.decided(slate, matching.scored_candidates(slate, fixtures))
 
 
-@plan("c28_match_rates")
+PROVIDED = """.
+sr AS (SELECT match_id AS row_id, match_id // 14 AS slate_id, 'team-' || home_team_id AS home, CASE WHEN match_id % 17 = 0 THEN '' ELSE 'team-' || away_team_id END AS away FROM matches),
+pv AS (SELECT match_id * 7 % 1000003 AS seq, match_id, CASE WHEN match_id % 11 = 0 THEN a ELSE h END AS home, CASE WHEN match_id % 11 = 0 THEN h ELSE a END AS away, CASE WHEN match_id % 9 = 0 THEN 'scheduled' ELSE 'finished' END AS status
+  FROM (SELECT match_id, 'team-' || home_team_id AS h, CASE WHEN match_id % 6 = 0 THEN 'taem-' ELSE 'team-' END || away_team_id AS a FROM matches WHERE match_id % 8 = 3)),
+hi AS (SELECT row_id, min_by(struct_pack(seq := seq, status := status), seq) AS m FROM sr JOIN pv ON ((sr.home = pv.home AND sr.away = pv.away) OR (sr.home = pv.away AND sr.away = pv.home)) AND sr.home <> '' AND sr.away <> '' GROUP BY 1),
+lo AS (SELECT row_id, min_by(struct_pack(seq := seq, status := status), seq) AS m FROM sr JOIN (SELECT seq, status, unnest([home, away]) AS name FROM pv) x ON x.name <> '' AND (x.name = sr.home OR x.name = sr.away) GROUP BY 1),
+pp AS (SELECT sr.row_id, slate_id, CASE WHEN hi.m IS NOT NULL THEN 'high' WHEN lo.m IS NOT NULL THEN 'low' ELSE 'none' END AS confidence, coalesce(hi.m, lo.m) AS m FROM sr LEFT JOIN hi USING (row_id) LEFT JOIN lo USING (row_id))
+"""
+
+
+def provided(spark, sf_dir):
+    """Slate rows and a provider's matches with normalised names, some turned round, misspelt or without a name."""
+    m = F.col("match_id")
+    name = lambda c, word="team-": F.concat(F.lit(word), F.col(c).cast("string"))
+    rows = derive.matches(spark, sf_dir)
+    slate = rows.select(m.alias("row_id"), F.expr("match_id div 14").alias("slate_id"), name("home_team_id").alias("home"), F.when(m % 17 == 0, "").otherwise(name("away_team_id")).alias("away"))
+    home, away = name("home_team_id"), F.when(m % 6 == 0, name("away_team_id", "taem-")).otherwise(name("away_team_id"))
+    provider = rows.where("match_id % 8 = 3").select((m * 7 % 1000003).alias("seq"), F.when(m % 11 == 0, away).otherwise(home).alias("home"), F.when(m % 11 == 0, home).otherwise(away).alias("away"), F.when(m % 9 == 0, "scheduled").otherwise("finished").alias("status"))
+    return slate, provider
+
+
+@plan("c15_provider_pairs", PROVIDED + "SELECT row_id, confidence, m.seq AS seq, m.status AS status FROM pp")
+def provider_pairs(spark, sf_dir):
+    return matching.paired_provider_rows(*provided(spark, sf_dir))
+
+
+@plan("c28_match_rates", PROVIDED + "SELECT slate_id, count(*) AS positions, count(*) FILTER (WHERE confidence = 'high') AS matched, round(count(*) FILTER (WHERE confidence = 'high') / count(*), 4) AS match_rate FROM pp GROUP BY 1")
 def match_rates(spark, sf_dir):
-    slate, fixtures = provider_rows(spark, sf_dir)
-    return matching.match_rate(matching.decided(slate, matching.scored_candidates(slate, fixtures)), slate)
+    slate, provider = provided(spark, sf_dir)
+    return matching.match_rate(matching.paired_provider_rows(slate, provider), slate)
 
 
 @plan(

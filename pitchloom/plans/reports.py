@@ -169,17 +169,18 @@ def knockout_shrinkage(spark, sf_dir):
 @plan(
     "b05_fixture_candidates",
     """.
-fc AS (SELECT match_id AS document_id, CASE WHEN match_id % 2 = 0 THEN 'League ' ELSE ' league ' END || competition_id AS competition, 'Team ' || home_team_id AS home, CASE WHEN match_id % 19 = 0 THEN ' ' ELSE 'team ' || away_team_id END AS away, CASE WHEN match_id % 3 = 0 THEN match_id % 14 + 1 END AS position,
+fc AS (SELECT match_id AS document_id, coalesce(nullif(CASE WHEN match_id % 13 = 0 THEN '' WHEN match_id % 29 = 0 THEN '  ' WHEN match_id % 17 <> 0 THEN CASE WHEN match_id % 2 = 0 THEN 'League ' ELSE ' league ' END || competition_id END, ''),
+  CASE WHEN match_id % 26 = 0 THEN 'League ' || competition_id END, 'Unknown Competition') AS competition, 'Team ' || home_team_id AS home, CASE WHEN match_id % 19 = 0 THEN ' ' ELSE 'team ' || away_team_id END AS away, CASE WHEN match_id % 3 = 0 THEN match_id % 15 END AS position,
   epoch(kickoff_at)::BIGINT AS kickoff_s FROM matches), mid AS (SELECT (min(kickoff_s) + max(kickoff_s)) // 2 AS s, max(kickoff_s) AS u FROM fc)
-SELECT document_id, competition, home, away, position, kickoff_s FROM fc, mid WHERE kickoff_s >= s AND kickoff_s <= u - 86400 AND trim(home) <> '' AND trim(away) <> '' AND trim(competition) <> ''
-QUALIFY row_number() OVER (PARTITION BY lower(trim(competition)), lower(trim(home)), lower(trim(away)) ORDER BY position IS NULL, coalesce(position, 999), kickoff_s, competition, home, away, document_id) = 1""",
+SELECT document_id, trim(competition) AS competition, trim(home) AS home, trim(away) AS away, position, kickoff_s FROM fc, mid WHERE kickoff_s >= s AND kickoff_s <= u - 86400 AND trim(home) <> '' AND trim(away) <> '' AND trim(competition) <> ''
+QUALIFY row_number() OVER (PARTITION BY lower(trim(competition)), lower(trim(home)), lower(trim(away)) ORDER BY position IS NULL, coalesce(nullif(position, 0), 999), kickoff_s, trim(competition), trim(home), trim(away), document_id) = 1""",
 )
 def fixture_candidates(spark, sf_dir):
     m = F.col("match_id")
     text = lambda word, c: F.concat(F.lit(word), F.col(c).cast("string"))
     rows = derive.matches(spark, sf_dir).select(
-        m.alias("document_id"), F.when(m % 2 == 0, text("League ", "competition_id")).otherwise(text(" league ", "competition_id")).alias("competition"), text("Team ", "home_team_id").alias("home"), F.when(m % 19 == 0, " ").otherwise(text("team ", "away_team_id")).alias("away"),
-        F.when(m % 3 == 0, m % 14 + 1).alias("position"), F.unix_seconds("kickoff_at").alias("kickoff_s"),
+        m.alias("document_id"), F.when(m % 13 == 0, "").when(m % 29 == 0, "  ").when(m % 17 != 0, F.when(m % 2 == 0, text("League ", "competition_id")).otherwise(text(" league ", "competition_id"))).alias("competition"), F.when(m % 26 == 0, text("League ", "competition_id")).alias("document_competition"), text("Team ", "home_team_id").alias("home"), F.when(m % 19 == 0, " ").otherwise(text("team ", "away_team_id")).alias("away"),
+        F.when(m % 3 == 0, m % 15).alias("position"), F.unix_seconds("kickoff_at").alias("kickoff_s"),
     )
     ends = rows.agg(F.expr("(min(kickoff_s) + max(kickoff_s)) div 2").alias("since_s"), (F.max("kickoff_s") - 86400).alias("until_s"))  # one row
     return reports.candidates(rows.join(F.broadcast(ends)), F.col("since_s"), F.col("until_s"))

@@ -375,13 +375,14 @@ def match_counts(spark, sf_dir):
 @plan(
     "h29_signatures",
     SLATES
-    + """, fx AS (SELECT draw_code, match_id % 14 + 1 AS position, 'Team ' || home_team_id AS home, 'Team ' || away_team_id AS away FROM matches JOIN slates ON slate_id = match_id // 14)
-SELECT draw_code, sha256('{"draw_code": "' || draw_code || '", "fixtures": [' || string_agg('[' || position || ', "' || home || '", "' || away || '"]', ', ' ORDER BY position) || ']}') AS signature FROM fx GROUP BY 1""",
+    + """, fx AS (SELECT draw_code, CASE WHEN match_id % 23 <> 0 THEN match_id % 14 + 1 END AS position, CASE WHEN match_id % 31 <> 0 THEN 'Team "' || home_team_id || '"' END AS home, 'Team \\ ñ' || away_team_id AS away FROM matches JOIN slates ON slate_id = match_id // 14)
+SELECT draw_code, sha256('{"draw_code": ' || coalesce(to_json(draw_code)::VARCHAR, 'null') || ', "fixtures": [' || string_agg('[' || coalesce(position::VARCHAR, 'null') || ', ' || coalesce(to_json(home)::VARCHAR, 'null') || ', ' || coalesce(to_json(away)::VARCHAR, 'null') || ']', ', ' ORDER BY position NULLS FIRST, home NULLS FIRST, away NULLS FIRST) || ']}') AS signature FROM fx GROUP BY draw_code""",
 )
 def signatures(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("Team "), F.col(c).cast("string"))
+    m = F.col("match_id")
     rows = derive.matches(spark, sf_dir).withColumn("slate_id", F.expr("match_id div 14")).join(all_slates(spark, sf_dir).select("slate_id", "draw_code"), "slate_id")
-    return slates.signatures(rows.select("draw_code", (F.col("match_id") % 14 + 1).alias("position"), name("home_team_id").alias("home"), name("away_team_id").alias("away")))
+    home, away = F.concat(F.lit('Team "'), "home_team_id", F.lit('"')), F.concat(F.lit("Team \\ ñ"), "away_team_id")
+    return slates.signatures(rows.select("draw_code", F.when(m % 23 != 0, m % 14 + 1).alias("position"), F.when(m % 31 != 0, home).alias("home"), away.alias("away")))
 
 
 @plan(

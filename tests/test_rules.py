@@ -77,10 +77,84 @@ def test_fixture_matching_against_all_pairs(spark):
             assert got[k].confidence == pytest.approx(top[0]) and got[k].fixture_id == -top[1]
             assert ("missing_score" in got[k].blockers) == (not top[3]) and ("match_not_finished" in got[k].blockers) == (top[2] != "finished")
         else:
-            assert top[0] < matching.SAFE  # nothing that shares no rarest word is safe
+            assert top[0] < matching.REVIEW and got[k].fixture_id is None
         assert (got[k].decision == "safe") <= (got[k].blockers == "" and got[k].confidence >= matching.SAFE)
 
 
+def test_every_pair_of_review_or_more_is_scored(spark):
+    r = random.Random(12)
+    base = ["liverpool", "arsenal", "real-madrid", "atletico-madrid", "ac", "aa", "pachuca", "monterrey", "chivas", "guadalajara", "necaxa", "mazatlan"]
+
+    def misspelt(name):
+        letters = list(name)
+        for _ in range(r.choice([0, 1, 2, 5])):
+            k = r.randrange(len(letters))
+            letters[k : k + 1] = r.choice([[], [r.choice("abcxyz")], [letters[k], letters[k]]]) or [letters[k]]
+        return "".join(letters)
+
+    def day():
+        return None if r.random() < 0.2 else date(2024, 1, r.randint(1, 20))
+
+    s = [(k, misspelt(r.choice(base)), misspelt(r.choice(base)), r.choice(["liga", "copa", None]), day()) for k in range(60)]
+    f = [(k, misspelt(r.choice(base)), misspelt(r.choice(base)), r.choice(["liga", "copa", None]), day(), "finished", True) for k in range(80)]
+    s.append((60, "liverpool", "arsenal", "liga", date(2024, 2, 2)))
+    f.append((80, "liverpol", "arsenl", "liga", date(2024, 2, 2), "finished", True))
+    slate, fixtures = spark.createDataFrame(s, "row_id long, home string, away string, competition string, date date"), spark.createDataFrame(f, "fixture_id long, home string, away string, competition string, date date, status string, has_score boolean")
+    got = {(x.row_id, x.fixture_id): x.confidence for x in matching.scored_candidates(slate, fixtures).collect()}
+    ratio = lambda x, y: 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+    want = {}
+    for k, h, a, c, d in s:
+        for i, x, y, cc, e, _, _ in f:
+            direct, swapped = (ratio(h, x) + ratio(a, y)) / 2, (ratio(h, y) + ratio(a, x)) / 2
+            dated = 0.5 if d is None or e is None else {0: 1.0, 1: 0.9, 2: 0.75}.get(abs((d - e).days), 0.0)
+            league = 0.6 if c is None or cc is None else 1.0 if c == cc else 0.5 + 0.5 * ratio(c, cc)
+            score = 0.6 * max(direct, swapped) + 0.2 * dated + 0.1 * league + 0.1 * (swapped <= direct)
+            if abs(score - 0.7) > 1e-4 and score > 0.7:
+                want[k, i] = score
+    assert {k: v for k, v in got.items() if v > 0.7001} == {k: pytest.approx(v, abs=6e-5) for k, v in want.items()}
+    assert sum(1 for k, i in want if s[k][4] is None or f[i][4] is None) > 5 and sum(1 for k, i in want if s[k][4] and f[i][4] and abs((s[k][4] - f[i][4]).days) > 2) > 0
+    best = {x.row_id: x for x in matching.decided(slate, matching.scored_candidates(slate, fixtures)).collect()}
+    assert (best[60].fixture_id, best[60].decision, best[60].confidence) == (80, "safe", pytest.approx(0.96, abs=0.01))
+
+
+def test_similar_names_against_all_pairs(spark):
+    r = random.Random(2)
+    names = sorted({"".join(r.choice("abcde-") for _ in range(r.randint(1, 9))) for _ in range(90)})
+    one, two = names[::2], names[1::2] + names[:4]
+    frame = lambda x: spark.createDataFrame([(n,) for n in [*x, "", None]], "name string")
+    for least in (0.5, 0.666, 0.9):
+        got = {(x.left_name, x.right_name) for x in matching.similar_names(frame(one), frame(two), least).collect()}
+        assert got == {(a, b) for a in one for b in two if matching.ratio(a, b) >= least}
+
+
+def test_provider_pairs_by_both_names_then_one_in_order(spark):
+    slate = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "z"), (4, "y", "z"), (5, "", "a"), (6, None, ""), (7, "c", "c")], "row_id long, home string, away string")
+    provider = spark.createDataFrame([(1, "x", "a", "s1"), (2, "a", "b", "s2"), (3, "b", "a", "s3"), (4, "", "a", "s4"), (5, "c", None, "s5")], "seq long, home string, away string, status string")
+    got = {x.row_id: (x.confidence, x.seq, x.status) for x in matching.paired_provider_rows(slate, provider).collect()}
+    assert got == {1: ("high", 2, "s2"), 2: ("high", 2, "s2"), 3: ("low", 1, "s1"), 4: ("none", None, None), 5: ("low", 1, "s1"), 6: ("none", None, None), 7: ("low", 5, "s5")}
+
+
+def test_signatures_tell_unknown_positions_and_names_apart(spark):
+    import hashlib
+    import json
+
+    rows = [("1", 1, 'A "x"', "B\\"), ("1", None, "C", None), ("2", 1, 'A "x"', "B\\"), ("3", None, "C", "ñ"), (None, 2, "a", "b")]
+    got = {x.draw_code: x.signature for x in slates.signatures(spark.createDataFrame(rows, "draw_code string, position long, home string, away string")).collect()}
+    for code in ("1", "2", "3", None):
+        own = sorted([[p, h, a] for c, p, h, a in rows if c == code], key=lambda x: (x[0] is not None, x[0] or 0))
+        assert got[code] == hashlib.sha256(json.dumps({"draw_code": code, "fixtures": own}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def test_candidates_take_the_documents_competition(spark):
+    from pyspark.sql import functions as F
+
+    from pitchloom.operators import reports
+
+    rows = [(1, None, "Cup", " A", "B", 0, 5), (2, "", None, "a", "b ", 3, 5), (3, " ", "Cup", "A", "B", 1, 5), (4, "cup ", None, "a", "B", 4, 6), (5, "Cup", "x", None, "B", 1, 5), (6, "Cup", "x", "A", "B", 1, 50)]
+    got = reports.candidates(spark.createDataFrame(rows, "document_id long, competition string, document_competition string, home string, away string, position long, kickoff_s long"), F.lit(0), F.lit(9)).collect()
+    assert {(x.document_id, x.competition, x.home, x.away) for x in got} == {(4, "cup", "a", "B"), (2, "Unknown Competition", "a", "b")}
+
+
 def test_coverage_plan_says_its_own_chance_and_budget_grows():
     r = random.Random(4)
     for _ in range(8):
