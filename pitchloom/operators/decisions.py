@@ -61,12 +61,13 @@ def context_adjusted(rows: DataFrame) -> DataFrame:
 
 
 def knockout_adjusted(rows: DataFrame, least: float = 0.10, most: float = 0.25) -> DataFrame:
-    """In knockouts a share of the draw goes to the sides, more where more goals are expected."""
-    share = least + (most - least) * F.least(F.greatest((c("expected_goals") - 1.0) / 3.0, F.lit(0.0)), F.lit(1.0))
-    share = F.when((c("home_recent") < 1) & (c("away_recent") < 1), F.lit(least)).otherwise(share)
+    """In knockouts a share of the draw goes to the sides, more where more goals are expected (J04). The share's band is the competition's (columns shrink_min and shrink_max, see I18), or the given one where rows have none."""
+    low, high = (c(x) if x in rows.columns else F.lit(y) for x, y in (("shrink_min", least), ("shrink_max", most)))
+    share = low + (high - low) * F.least(F.greatest((c("expected_goals") - 1.0) / 3.0, F.lit(0.0)), F.lit(1.0))
+    share = F.when((c("home_recent") < 1) & (c("away_recent") < 1), low).otherwise(share)
     freed, sides = c("p_draw") * F.when(c("is_knockout"), share).otherwise(F.lit(0.0)), c("p_home") + c("p_away")
     part = lambda p: F.when(sides > 1e-9, c(p) / sides).otherwise(F.lit(0.5))
-    others = [x for x in rows.columns if x not in P]
+    others = [x for x in rows.columns if x not in (*P, "shrink_min", "shrink_max")]
     return rows.select(*others, (c("p_home") + freed * part("p_home")).alias("p_home"), (c("p_draw") - freed).alias("p_draw"), (c("p_away") + freed * part("p_away")).alias("p_away"))
 
 

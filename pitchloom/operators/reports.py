@@ -89,6 +89,13 @@ def shrinkage(draw_rate: Column, target: float = 0.22) -> tuple[Column, Column]:
     return F.when(unknown, 0.15).otherwise(F.greatest(F.lit(0.10), base * 0.6)), F.when(unknown, 0.55).otherwise(F.least(F.lit(0.90), F.greatest(base * 2, base + 0.20)))
 
 
+def shrinkage_bands(played: DataFrame, least: int = 30) -> DataFrame:
+    """competition_id, shrink_min, shrink_max of every competition (I18); a draw rate from fewer than `least` matches is unknown."""
+    rates = played.groupBy("competition_id").agg(F.when(F.count(F.lit(1)) >= least, F.avg((F.col("result_code") == "X").cast("double"))).alias("r"))
+    low, high = shrinkage(F.col("r"))
+    return rates.select("competition_id", low.alias("shrink_min"), high.alias("shrink_max"))
+
+
 def candidates(fixtures: DataFrame, since_s: Column, until_s: Column) -> DataFrame:
     """Fixtures of documents within a window, one for each competition and teams (case aside): with a position first, then the smallest position, earliest, by name.
 

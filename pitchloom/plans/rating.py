@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchloom.operators import evaluation, features, rating
+from pitchloom.operators import evaluation, rating
 from pitchloom.sources import derive
 
 from .core import plan
-from .form import FORM_SQL, TEAM_ROWS
+from .form import TEAM_ROWS
 
 SIDES = (("", "true"), ("home_", "is_home"), ("away_", "NOT is_home"))
 SUMS = ", ".join(
@@ -110,23 +110,3 @@ def features_before(played, least_before: int = 20):
 
     w = W.partitionBy("competition_id").orderBy("kickoff_at", "match_id").rowsBetween(W.unboundedPreceding, -1)
     return played.select("match_id", "competition_id", "result_code", F.count(F.lit(1)).over(w).alias("n"), F.count_if(F.col("result_code") == "X").over(w).alias("draws")).where(F.col("n") >= least_before)
-
-
-SMALL = (
-    FORM_SQL.replace("SELECT t.match_id, t.team_id", ", fr AS (SELECT t.match_id, t.team_id", 1)
-    + """),
-g AS (SELECT h.match_id, h.points_per_match - a.points_per_match AS fg, h.goal_balance - a.goal_balance AS gg, h.days_rest - a.days_rest AS rg FROM fr h JOIN fr a ON a.match_id = h.match_id AND h.is_home AND NOT a.is_home),
-s AS (SELECT match_id, least(greatest(0.75 * fg + 0.55 * gg / 8 + 0.08 * rg, -4.0), 4.0) AS s FROM g),
-d AS (SELECT match_id, s, greatest(0.18, 0.34 - least(abs(s) * 0.05, 0.16)) AS d FROM s)
-SELECT match_id, round((1 - d) / (1 + exp(-s)), 9) AS p_home, round(d, 9) AS p_draw, round(1 - d - (1 - d) / (1 + exp(-s)), 9) AS p_away FROM d"""
-).replace("\ns AS (SELECT match_id, least", "\nss AS (SELECT match_id, least").replace("AS d FROM s)", "AS d FROM ss)")
-
-
-@plan("i05_small_sample_rule", SMALL)
-def small_sample_rule(spark, sf_dir):
-    form = features.recent_form(derive.played(spark, sf_dir))
-    side = lambda home, s: form.where(F.col("is_home") == home).select("match_id", *(F.col(c).alias(f"{s}_{c}") for c in ("points_per_match", "goal_balance", "days_rest")))
-    both = side(True, "h").join(side(False, "a"), "match_id")
-    gap = lambda c: F.col(f"h_{c}") - F.col(f"a_{c}")
-    rows = both.select("match_id", gap("points_per_match").alias("form_gap"), (gap("goal_balance") / 8).alias("goal_gap"), gap("days_rest").alias("rest_gap"), *(F.lit(0.0).alias(c) for c in ("h2h_points_gap", "h2h_goal_gap", "context_gap")))
-    return rating.small_sample_rule(rows).select("match_id", *(F.round(c, 9).alias(c) for c in ("p_home", "p_draw", "p_away")))

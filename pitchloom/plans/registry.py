@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, entities, evaluation, feeds, form, learning, names, prediction, rating, readers, reports, results, slates, tickets, walk  # noqa: F401  they register their plans
+from . import decisions, entities, evaluation, feeds, form, learning, names, prediction, rating, readers, reports, results, slates, splits, tickets, walk  # noqa: F401  they register their plans
 from .core import PLANS, SQL, Plan
 
 

@@ -13,6 +13,9 @@ from .learning import POSITIONS, positions
 from .results import CANONICAL, STATE
 from .slates import SLATES, all_slates
 
+#: The band of the share of the draw that knock-out matches move, by competition.
+BANDS = """kb AS (SELECT competition_id, CASE WHEN count(*) >= 30 THEN avg((result_code = 'X')::INT) END AS r FROM played GROUP BY 1),
+kc AS (SELECT competition_id, CASE WHEN r IS NULL OR r < 0.05 THEN 0.15::DOUBLE ELSE greatest(0.10, greatest(0, 1 - 0.22 / r) * 0.6) END AS lo, CASE WHEN r IS NULL OR r < 0.05 THEN 0.55::DOUBLE ELSE least(0.90, greatest(greatest(0, 1 - 0.22 / r) * 2, greatest(0, 1 - 0.22 / r) + 0.20)) END AS hi FROM kb)"""
 VECTORS = [None, '{"decision_probabilities": {"L": 0.5, "E": 0.3, "V": 0.2}, "raw_probabilities": {"L": 0.6, "E": 0.3, "V": 0.1}}', '{"display_probabilities": {"L": 0.4, "E": 0.35, "V": 0.25}}', '{"decision_probabilities": {"L": 0.5}, "display_probabilities": {"L": 0.1, "E": 0.2, "V": 0.7}}', "broken"]
 LISTED = "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in VECTORS) + "]"
 
@@ -156,14 +159,12 @@ def ticket_picks(spark, sf_dir):
 
 @plan(
     "i18_knockout_shrinkage",
-    """.
-dr AS (SELECT competition_id, avg((result_code = 'X')::INT) AS r FROM played GROUP BY 1)
-SELECT competition_id, round(CASE WHEN r < 0.05 THEN 0.15 ELSE greatest(0.10, greatest(0, 1 - 0.22 / r) * 0.6) END, 6) AS shrink_min, round(CASE WHEN r < 0.05 THEN 0.55 ELSE least(0.90, greatest(greatest(0, 1 - 0.22 / r) * 2, greatest(0, 1 - 0.22 / r) + 0.20)) END, 6) AS shrink_max FROM dr""",
+    f""".
+{BANDS}
+SELECT competition_id, round(lo, 6) AS shrink_min, round(hi, 6) AS shrink_max FROM kc""",
 )
 def knockout_shrinkage(spark, sf_dir):
-    rates = derive.played(spark, sf_dir).groupBy("competition_id").agg(F.avg((F.col("result_code") == "X").cast("double")).alias("r"))
-    low, high = reports.shrinkage(F.col("r"))
-    return rates.select("competition_id", F.round(low, 6).alias("shrink_min"), F.round(high, 6).alias("shrink_max"))
+    return reports.shrinkage_bands(derive.played(spark, sf_dir)).select("competition_id", F.round("shrink_min", 6).alias("shrink_min"), F.round("shrink_max", 6).alias("shrink_max"))
 
 
 @plan(

@@ -229,3 +229,52 @@ def test_policy_is_withdrawn_downwards_only(spark):
     rows = [(k, name, live, guess) for k, (name, live, guess) in enumerate([("ready", True, True), ("ready", True, False), ("context_only", False, True), ("odd", True, True), ("unclassified", False, True)])]
     got = {r.match_id: (r.readiness, r.live_pick_allowed) for r in slates.capped_policy(spark.createDataFrame(rows, "match_id long, readiness string, live_pick_allowed boolean, is_placeholder boolean")).collect()}
     assert got == {0: ("context_only", False), 1: ("ready", True), 2: ("context_only", False), 3: ("odd", False), 4: ("unclassified", False)}
+
+
+def test_split_rows_against_all_pairs(spark):
+    from pitchloom.operators import splits
+
+    r = random.Random(16)
+    words = ["man", "manchester", "united", "seattle", "sounders", "real", "madrid", "fc", "fluminense", "women", "w", "city"]
+    labels = {k: " ".join(r.choice(words[: r.choice([5, 12])]) for _ in range(r.randint(1, 3))) for k in range(240) if not 70 <= k < 75} | {70: "man united", 71: "manchester united", 72: "braga", 73: "bragantino", 74: ""}
+    leagues = {k: r.sample(range(4), r.randint(1, 2)) for k in labels} | {70: [0], 71: [0]}
+    counts = {k: r.choice([1, 4, 10, 11, 29, 30, 44]) for k in labels} | {70: 3, 71: 200}
+    matches, n = [], 0
+    for k, total in counts.items():
+        for i in range(total):
+            matches.append((n, leagues[k][i % len(leagues[k])], k, 1000 + n))
+            n += 1
+    teams = spark.createDataFrame(list(labels.items()), "team_id long, label string")
+    fixtures = spark.createDataFrame(matches, "match_id long, competition_id long, home_team_id long, away_team_id long")
+    names = spark.createDataFrame([(k, f"League {k}") for k in range(4)], "competition_id long, name string")
+
+    def alike(a, b):
+        x, y = a.split(), b.split()
+        if bool(set(x) & set(splits.WOMEN)) != bool(set(y) & set(splits.WOMEN)) or not a or not b or a == b:
+            return False
+        fits = all(p == q or min(len(p), len(q)) >= 3 and (p.startswith(q) or q.startswith(p)) for p, q in zip(x, y))
+        return b.startswith(a + " ") or len(x) == len(y) >= 2 and fits and any(p == q for p, q in zip(x, y))
+
+    played = {k: {m[1] for m in matches if m[2] == k} for k in labels}
+    want = {}
+    for a in labels:
+        found = [(-counts[b], b) for b in labels if b != a and counts[a] <= 10 and counts[b] >= 30 and played[a] & played[b] and alike(labels[a], labels[b])]
+        if found:
+            b = min(found)[1]
+            want[a] = (counts[a], b, counts[b], min(f"League {c}" for c in played[a] & played[b]))
+    assert {x.thin_team_id: tuple(x)[1:] for x in splits.split_candidates(teams, fixtures, names).collect()} == want
+    assert want[70][1] == 71 and len(want) > 5
+
+
+def test_audits_at_the_close_pass_over_what_cannot_be_read(spark):
+    import json
+
+    from pitchloom.operators import splits
+
+    good = lambda x: json.dumps({"raw_probabilities": {"L": x, "E": 0.2, "V": 0.1}, "decision_probabilities": None, "display_probabilities": {"L": x, "E": 0.1, "V": 0.2}})
+    t = lambda h: datetime(2024, 1, 1, h)
+    rows = [(1, 1, 5, "a", t(1), good(0.1)), (2, 1, 5, "a", t(2), good(0.2)), (3, 1, 5, "a", t(2), good(0.3)), (4, 1, 5, "a", t(3), "{"), (5, 1, 5, "a", t(9), good(0.9)), (6, 1, 5, "old", t(3), good(0.8)), (7, 1, 6, "a", t(1), "null"), (8, 2, 5, "", t(1), good(0.4)), (9, 3, 5, "c", t(1), good(0.5))]
+    predictions = spark.createDataFrame(rows, "prediction_id long, slate_id long, match_id long, composition_hash string, generated_at timestamp, audit string")
+    slates_ = spark.createDataFrame([(1, "a", t(4)), (2, "", t(4)), (3, "c", None)], "slate_id long, composition_hash string, cutoff timestamp")
+    got = splits.historical_audits(predictions, slates_).collect()
+    assert [(x.slate_id, x.match_id, x.prediction_id, x.raw_l, x.decision_v) for x in got] == [(1, 5, 3, 0.3, 0.2)]  # equal times: the greater id
