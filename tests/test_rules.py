@@ -278,3 +278,12 @@ def test_audits_at_the_close_pass_over_what_cannot_be_read(spark):
     slates_ = spark.createDataFrame([(1, "a", t(4)), (2, "", t(4)), (3, "c", None)], "slate_id long, composition_hash string, cutoff timestamp")
     got = splits.historical_audits(predictions, slates_).collect()
     assert [(x.slate_id, x.match_id, x.prediction_id, x.raw_l, x.decision_v) for x in got] == [(1, 5, 3, 0.3, 0.2)]  # equal times: the greater id
+
+
+def test_player_names_by_their_letters(spark):
+    texts = {"Luis de la Cruz": None, "baja de Ángel Di María hoy": "Ángel Di María", "Kevin van Dijk y Erik O'Brien": "Kevin van Dijk", "lesión: Liam O'Brien Jr": "Liam O'Brien Jr", "Jean D’Angelo": "Jean D’Angelo", "solo Pedro juega": None, "ANA GOMEZ": None, "Łukasz Żak fuera": "Łukasz Żak", "José de Souza dos Santos": "José de Souza dos Santos", "": None}
+    from pitchloom.operators import narrative
+    from pyspark.sql import functions as F
+
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumn("n", narrative.player_name(F.col("t"))).collect()}
+    assert got == texts
