@@ -37,6 +37,32 @@ def coverage(rows: DataFrame, checkpoints: tuple[int, ...] = (8, 10, 12)) -> Dat
     return slates.select("slate_id", F.size("p").cast("long").alias("positions"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("expected"), *(F.round(at_least(F.col("pmf"), k), 6).alias(f"at_least_{k}") for k in checkpoints), F.round(clean, 9).alias("clean"), half.cast("long").alias("tickets_for_half"))
 
 
+#: Share of a slate that a ticket aims at, and the chance of it that is enough.
+TARGET, ENOUGH = 0.9, 0.8
+
+
+def coverage_modes(rows: DataFrame) -> DataFrame:
+    """Per slate and ticket (simple, doubles, full) and number of hits from half the slate on: the chance of so many, next to the ticket's expected hits, target, chances of all and of all but one, and tickets for an even chance.
+
+    rows: slate_id, position, P, doubles_rank, full_rank: signs covered by the two larger tickets, null for one. A slate's positions are few and make one row.
+    """
+    ordered = F.array_sort(F.array("p_home", "p_draw", "p_away"))
+    hit = lambda rank: F.when(rank == 2, F.least(ordered[2] + ordered[1], F.lit(1.0))).when(rank == 3, F.lit(1.0)).otherwise(ordered[2])
+    modes = {"simple": F.lit(1), "doubles": F.col("doubles_rank"), "full": F.col("full_rank")}
+    slates = rows.groupBy("slate_id").agg(F.array_sort(F.collect_list(F.struct("position", *(hit(rank).alias(name) for name, rank in modes.items())))).alias("x"))
+    each = slates.select("slate_id", F.explode(F.array(*(F.struct(F.lit(name).alias("mode"), F.col(f"x.{name}").alias("p")) for name in modes))).alias("m")).select("slate_id", "m.*")
+    n = F.size("p")
+    each = each.select("slate_id", "mode", "p", n.alias("n"), F.greatest(F.lit(1), F.least(F.ceil(n * TARGET).cast("int"), n)).alias("target"), coverage_pmf(F.col("p")).alias("pmf"))
+    tail = lambda k: F.aggregate(F.slice("pmf", k + 1, F.col("n") + 1), F.lit(0.0), lambda s, v: s + v)
+    least = F.greatest(F.lit(1), F.floor(F.col("n") / 2).cast("int"))
+    each = each.withColumns({"target_probability": F.when(F.col("target") >= least, F.round(tail(F.col("target")), 6)).otherwise(0.0), "all": tail(F.col("n"))})
+    half = F.when((F.col("all") > 0) & (F.col("all") < 1), F.ceil(math.log(0.5) / F.log1p(-F.col("all"))))
+    return each.select(
+        "slate_id", "mode", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 4).alias("expected"), F.col("target").cast("long").alias("target_floor"), "target_probability", (F.col("target_probability") >= ENOUGH).alias("target_met"), F.round("all", 6).alias("jackpot"),
+        F.round(F.when(F.col("n") >= 2, tail(F.col("n") - 1)).otherwise(F.col("all")), 6).alias("near_jackpot"), half.cast("long").alias("tickets_for_half"), F.explode(F.transform(F.sequence(least, F.col("n")), lambda k: F.struct(k.cast("long").alias("hits"), F.round(tail(k), 6).alias("chance")))).alias("c"),
+    ).select("*", "c.*").drop("c")
+
+
 def pick(kind: Column, index: int) -> Column:
     value = F.lit(None)
     for name, limits in LIMITS.items():

@@ -75,3 +75,31 @@ def abbreviations(spark, sf_dir):
     one, two = ["Atl San Luis", "Atletico San Luis", "Cruz Azul", "Man United", "Manchester United", "CF", "Atl"], ["Atletico San Luis", "Manchester United", "Cruz Azul", "Atl San Luis", "CF"]
     rows = derive.table(spark, sf_dir, "customer").withColumn("k", F.expr("c_custkey div 3")).select("c_custkey", chosen(one, "c_custkey").alias("a"), chosen(two, "k").alias("b"))
     return rows.withColumn("abbreviates", text.abbreviates(F.col("a"), F.col("b")))
+
+
+ALIASED = ["Ath. Bilbao", "Club de Fútbol América", "Liga MX", "C Azul FC", "Pumas UNAM", "WCQ", "Primera División", None, "", "FC", "América  (Fem)", "ATH BILBAO"]
+#: Known spellings, as the parameter of the plans.
+ALIASES = [("ath bilbao", "athletic-bilbao"), ("wcq", "international-friendlies"), ("c azul fc", "cruz-azul"), ("pumas", "pumas-unam")]
+
+
+def normal_sql(words):
+    return f"""
+na AS (SELECT c_custkey, {listed(ALIASED)}[c_custkey % {len(ALIASED)} + 1] || CASE WHEN c_custkey % 5 = 0 THEN ' ' || c_custkey ELSE '' END AS name FROM customer), al(alias, slug) AS (VALUES {", ".join(map(str, ALIASES))}),
+nk AS (SELECT *, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS alias FROM na)
+SELECT c_custkey, name, coalesce(slug, array_to_string(list_filter(string_split(alias, ' '), lambda w: w NOT IN {words}), '-')) AS normal FROM nk LEFT JOIN al USING (alias)"""
+
+
+def normal_names(spark, sf_dir, words):
+    key = F.col("c_custkey")
+    rows = derive.table(spark, sf_dir, "customer").select("c_custkey", F.concat(chosen(ALIASED, "c_custkey"), F.when(key % 5 == 0, F.concat(F.lit(" "), key.cast("string"))).otherwise("")).alias("name"))
+    return text.normalized(rows, "name", spark.createDataFrame(ALIASES, "alias string, slug string"), words, "normal")
+
+
+@plan("h02_team_names", "." + normal_sql(text.TEAM_WORDS))
+def team_names(spark, sf_dir):
+    return normal_names(spark, sf_dir, text.TEAM_WORDS)
+
+
+@plan("h03_competition_names", "." + normal_sql(text.COMPETITION_WORDS))
+def competition_names(spark, sf_dir):
+    return normal_names(spark, sf_dir, text.COMPETITION_WORDS)

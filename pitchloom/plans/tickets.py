@@ -23,6 +23,23 @@ def coverage(spark, sf_dir):
     return tickets.coverage(samples(spark, sf_dir))
 
 
+@plan(
+    "k06_coverage_modes",
+    INPUTS
+    + """,
+rk AS (SELECT slate_id, position, list_sort([p_home, p_draw, p_away]) AS o, match_id % 3 AS d, match_id % 5 AS f FROM i),
+md AS (SELECT slate_id, unnest(['simple', 'doubles', 'full']) AS mode, unnest([list(o[3] ORDER BY position), list(CASE WHEN d = 2 THEN least(o[3] + o[2], 1) ELSE o[3] END ORDER BY position), list(CASE f WHEN 2 THEN least(o[3] + o[2], 1) WHEN 3 THEN 1.0 ELSE o[3] END ORDER BY position)]) AS p FROM rk GROUP BY 1),
+mf AS (SELECT *, len(p) AS n, list_reduce(list_prepend([1.0::DOUBLE], list_transform(p, lambda x: [x])), lambda acc, x: list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * (1 - x[1]) + CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END * x[1])) AS g FROM md),
+mt AS (SELECT *, greatest(1, least(ceil(n * 0.9)::BIGINT, n)) AS t, greatest(1, n // 2) AS lo FROM mf)
+SELECT slate_id, mode, round(list_sum(p), 4) AS expected, t AS target_floor, round(list_sum(g[t + 1:]), 6) AS target_probability, round(list_sum(g[t + 1:]), 6) >= 0.8 AS target_met, round(g[n + 1], 6) AS jackpot, round(CASE WHEN n >= 2 THEN g[n] + g[n + 1] ELSE g[n + 1] END, 6) AS near_jackpot,
+  CASE WHEN g[n + 1] > 0 AND g[n + 1] < 1 THEN ceil(ln(0.5) / ln(1 - g[n + 1]))::BIGINT END AS tickets_for_half, k AS hits, round(list_sum(g[k + 1:]), 6) AS chance FROM mt, unnest(range(lo, n + 1)) r(k)""",
+)
+def coverage_modes(spark, sf_dir):
+    """All three tickets of each slate; ranks follow from match_id, the legal tickets of k09 have the same shape."""
+    k = F.col("match_id")
+    return tickets.coverage_modes(inputs(spark, sf_dir).withColumns({"doubles_rank": F.when(k % 3 > 0, k % 3), "full_rank": F.when(k % 5 > 0, F.least(k % 5, F.lit(4)))}))
+
+
 @plan(
     "k15_prices",
     """.
