@@ -13,10 +13,11 @@ SCORED = ["FINAL(?:IZADO)?", "JUGADO", r"EN\s+VIVO", "VIVO", r"MEDIO\s+TIEMPO",
 UNPLAYED = ["PENDIENTE", "PROGRAMADO", r"NO\s+INICIADO", r"POR\s+JUGAR"]
 HALF_TIME, RUNNING = ["MEDIO TIEMPO", "DESCANSO", "ENTRETIEMPO"], ["VIVO"]
 SIGNS = {"L": "1", "E": "X", "V": "2", "1": "1", "X": "X", "2": "2"}
-#: Positions of a bulletin, sizes of a row of signs, letters that begin a name in a guide, and what stands for no team there.
+#: Positions of a bulletin, sizes of a row of signs, letters that begin a name in a guide, what stands for no team there, and what a name may inherit in front.
 POSITIONS, ROW_SIZES = 14, [7, 9, 14]
 CAPITALS = "A-ZÁÉÍÓÚÜÑ"
 HEADINGS, CUPS = ["LOCAL", "VISITANTE", "LOCAL VISITANTE"], ["UEFA", "FIFA", "CONMEBOL", "CONCACAF", "AFC", "CAF", "OFC", "COPA", "VS"]
+BEFORE_NAMES = ["LOCAL VISITANTE", "GUÍA DE LA QUINIELA", "LOCAL", "VISITANTE"]
 
 PLACE = r"(?i)^(\d{1,2})[.)]?\s+"
 SCORE_LINE = PLACE + rf"(.+?)\s+(\d{{1,2}})\s*[-:]\s*(\d{{1,2}})\s+(.+?)(?:\s+({'|'.join(SCORED)}))?(?:\s+(\d{{1,3}})\s*'?)?$"
@@ -99,19 +100,20 @@ def midweek_fixtures(text: Column) -> Column:
     behind the last mark go to the positions that lack one, in order; what is still without takes the last line in capitals before its mark, if it is neither a heading nor a body's short name. Positions without both teams are left out.
     """
     name = lambda s: squeezed(s, ".,;: ")
+    team = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(s), r"\s+", " "), r"^[.,;:\- ]+", ""), f"(?i)^(?:{'|'.join(BEFORE_NAMES)})", ""))
     names = lambda part, most, end: F.filter(F.transform(F.regexp_extract_all(part, F.lit(rf"([{CAPITALS}][{CAPITALS}.\s]{{0,{most}}}?)\s*\n?\s*VS{end}"), F.lit(1)), name), lambda n: (n != "") & ~n.isin(HEADINGS))
     last = lambda values: F.when(F.size(values) > 0, F.element_at(values, -1))
     trimmed = lambda part: F.transform(F.split(part, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     in_capitals = lambda lines: F.filter(lines, lambda x: x.rlike(rf"^[{CAPITALS}][{CAPITALS}\s.]{{2,50}}$") & ~x.isin(HEADINGS + CUPS))
     begins = lambda lines: F.get(F.filter(lines, lambda x: x.rlike(f"^[{CAPITALS}]")), 0)
-    part = lambda g: F.struct(last(names(g, 60, r"\s*(?:\n|\z)")).alias("home"), name(last(in_capitals(trimmed(g)))).alias("bare"), name(begins(trimmed(g))).alias("away"))
+    part = lambda g: F.struct(team(last(names(g, 60, r"\s*(?:\n|\z)"))).alias("home"), team(last(in_capitals(trimmed(g)))).alias("bare"), team(begins(trimmed(g))).alias("away"))
     numbers = F.regexp_extract_all(text, F.lit(r"CASILLERO\s+(\d{1,2})"), F.lit(1))
     tail = lambda gaps: names(F.element_at(gaps, -1), 50, r"\b")
     read = bound(F.split(text, r"CASILLERO\s+\d{1,2}"), lambda gaps: F.struct(numbers.alias("numbers"), F.transform(gaps, part).alias("parts"), tail(gaps).alias("orphans")))
 
     def fixtures(r: Column) -> Column:
         lacking = lambda i: F.size(F.filter(F.slice(r["parts"], 1, i + 1), lambda p: p["home"].isNull()))
-        home = lambda i: F.coalesce(F.get(r["parts"], i)["home"], F.get(r["orphans"], lacking(i) - 1), F.get(r["parts"], i)["bare"])
+        home = lambda i: F.coalesce(F.get(r["parts"], i)["home"], team(F.get(r["orphans"], lacking(i) - 1)), F.get(r["parts"], i)["bare"])
         away = lambda i: F.get(F.filter(F.transform(F.slice(r["parts"], i + 2, F.size(r["parts"])), lambda p: p["away"]), lambda a: a.isNotNull()), 0)
         return F.transform(r["numbers"], lambda n, i: F.struct(n.cast("int"), home(i), away(i)).cast(PAIR))
 
