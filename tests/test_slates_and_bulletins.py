@@ -148,3 +148,56 @@ def test_provider_scores_that_cannot_be_read(spark):
     rows = [("2-0", "finished", "L"), (" 1 - 1 ", "finished", "E"), ("0-3", "live", None), ("x-1", "finished", None), ("21", "finished", None), ("", "finished", None), (None, "finished", None), ("1-2-3", "finished", None)]
     got = spark.createDataFrame(rows, "score string, status string, want string").select("want", validation.provider_sign(F.col("score"), F.col("status")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_watcher_as_a_stream_replays_and_restarts(spark, tmp_path):
+    from pitchloom.operators import watch
+    from pitchloom.streaming import watch as stream
+
+    schema = "feed long, tick_id long, seen_s long, digest string, draw_code string, week_type string, fixtures long, closes_s long, close_source string, accepted boolean, rejected_draw string"
+    tick = lambda i, digest, draw="MS 806": (1, i, i * 100, digest, draw, "midweek", 9, None, None, False, "800")
+    ticks = [tick(1, "a"), tick(2, None), tick(3, "a"), tick(4, "b"), tick(5, "a", "MS 807"), tick(6, "a", "MS 807"), (2, 1, 100, None, None, None, None, None, None, None, None)]
+    batch = watch.remembered(spark.createDataFrame(ticks, schema))
+    assert [(r.tick_id, r.changed, r.changed_s, r.first_s) for r in batch.where("feed = 1").orderBy("tick_id").collect()] == [(1, True, 100, 100), (2, False, 100, 100), (3, False, 100, 100), (4, True, 400, 100), (5, True, 500, 500), (6, False, 500, 500)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        found = stream.remembered(spark.readStream.schema(schema).parquet(source))
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    run(ticks[:3])
+    run(ticks[:4])  # the first three again
+    run(ticks[4:])
+    assert sorted(map(str, spark.read.parquet(out).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_deadlines_by_precedence(spark):
+    from pitchloom.operators import watch
+
+    schema = "feed int, tick_id int, seen_s long, digest string, draw_code string, week_type string, fixtures int, closes_s long, close_source string, accepted boolean, rejected_draw string, changed boolean, changed_s long, first_s long"
+    day = 86400
+    row = lambda i, draw, closes=None, by=None, other="800", at=1000: (1, i, at, "x", draw, "midweek", 9, closes, by, closes is not None, other, True, at, 500)
+    rows = [row(1, "806"), row(2, "807", 5000), row(3, "807", 5000, watch.PROVISIONAL), row(4, "808"), row(5, "809"), row(6, "810", None, None, None), row(7, "811"), row(8, "812", 900), row(9, None), row(10, "806", None, None, "800", 500 + 6 * day)]
+    overrides = spark.createDataFrame([("PGM-807", 100, 7000), ("PGM-807", 200, 800), ("PGM-807", 2000, 9000), ("PGM-806", 10, None)], "draw_code string, recorded_s long, closes_s long")
+    slates = spark.createDataFrame([(1, "PGM-806", 10**9, None), (2, "PGM-807", 6000, None), (3, "PGM-808", 3000, None), (4, "PGM-809", 10**9, 900), (5, "PGM-810", None, None), (7, "PGM-812", None, None)], "slate_id int, draw_code string, first_kickoff_s long, observed_s long")
+    got = {r.tick_id: (r.slate_id, r.closes_s, r.close_source, r.status) for r in watch.decided(spark.createDataFrame(rows, schema), overrides, slates).collect()}
+    shut = (None, None, None, "changed_invalid")
+    assert got == {
+        1: (1, 500 + 5 * day, watch.PROVISIONAL, "changed_invalid"), 2: (2, 5000, watch.OFFICIAL, "changed_valid"), 3: (2, 7000, watch.OPERATOR, "changed_valid"), 4: (3, 3000, watch.PROVISIONAL, "changed_invalid"), 5: shut, 6: shut, 7: shut,
+        8: (None, None, None, "changed_valid"), 9: shut, 10: shut,
+    }
+
+
+def test_documents_share_one_new_item(spark):
+    from pitchloom.operators import evidence
+
+    documents = spark.createDataFrame([(1, None, 7, "s", 10, " Title", None, "a", 0.5), (2, None, 7, "s", 20, "TITLE ", "", "b", 0.6), (3, "e1", 8, "s", 30, None, None, "c", 0.7), (4, "gone", None, None, None, None, None, None, None)], "document_id long, linked_evidence_id string, match_id long, source_id string, captured_s long, title string, url string, summary string, confidence double")
+    items = spark.createDataFrame([("e1", 9, "t", "note", 1, "old", "u", "old", 0.1), ("e2", 7, "s", "note", 1, "title", None, "x", 0.2)], "evidence_id string, match_id long, source_id string, kind string, captured_s long, title string, url string, summary string, confidence double")
+    after = evidence.evidence_after(documents, items)
+    want = {("e1", 9, "t", "note", 1, None, None, "c", 0.7), ("e2", 7, "s", "note", 1, "title", None, "x", 0.2), ("doc-1", 7, "s", "news", 10, "TITLE ", "", "b", 0.6), ("doc-4", None, None, "news", None, None, None, None, None)}
+    assert {tuple(r) for r in after.collect()} == want
+    linked = evidence.links_after(documents, items)
+    assert {r.document_id: r.linked_evidence_id for r in linked.collect()} == {1: "doc-1", 2: "doc-1", 3: "e1", 4: "doc-4"}
+    assert {tuple(r) for r in evidence.evidence_after(linked, after).collect()} == want
+    assert evidence.evidence_after(documents.limit(0), items).exceptAll(items).count() == 0
