@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bulletins, decisions, entities, evaluation, evidence, feeds, form, learning, names, prediction, rating, readers, reports, results, slates, splits, tickets, validation, versions, walk, watch  # noqa: F401  they register their plans
+from . import bulletins, decisions, entities, evaluation, evidence, feeds, form, learning, names, policy, prediction, rating, readers, reports, results, slates, splits, tickets, validation, versions, walk, watch  # noqa: F401  they register their plans
 from .core import PLANS, SQL, Plan
 
 

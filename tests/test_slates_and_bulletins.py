@@ -201,3 +201,20 @@ def test_documents_share_one_new_item(spark):
     assert {r.document_id: r.linked_evidence_id for r in linked.collect()} == {1: "doc-1", 2: "doc-1", 3: "e1", 4: "doc-4"}
     assert {tuple(r) for r in evidence.evidence_after(linked, after).collect()} == want
     assert evidence.evidence_after(documents.limit(0), items).exceptAll(items).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("files", "want"),
+    [
+        ([], ["xgboost", "xgboost", "heuristic_blend", "placeholder"]),
+        ([(2, '{"competitions": [{"competition_key": "a", "xgboost_beats_heuristic": true}, {"competition_key": "b", "xgboost_beats_heuristic": false}]}')], ["xgboost", "heuristic_blend_gated", "heuristic_blend", "placeholder"]),
+        ([(1, "{broken"), (2, '{"competitions": []}')], ["xgboost", "xgboost", "heuristic_blend", "placeholder"]),
+        ([(1, '{"other": 1}')], ["heuristic_blend_gated", "heuristic_blend_gated", "heuristic_blend_gated", "placeholder"]),
+    ],
+)
+def test_engines_by_verdict(spark, files, want):
+    from pitchloom.operators import policy
+
+    rows = [(1, "a", "xgboost_multiclass", 5, True), (2, "b", "xgboost_multiclass", 5, True), (3, "a", "xgboost_multiclass", 5, None), (4, None, None, None, None)]
+    found = policy.engines(spark.createDataFrame(rows, "k int, competition_key string, model_type string, sample_size int, has_score boolean"), spark.createDataFrame(files, "rank int, text string"))
+    assert [r.engine for r in found.orderBy("k").collect()] == want
