@@ -28,3 +28,27 @@ def test_past_rows_take_one_shuffle_and_no_tie(spark):
     found = features.with_past(rows.withColumn("v", F.col("match_id")), ["team_id"], ["v"], 2)
     assert {r.match_id: [x.match_id for x in r.past] for r in found.collect()} == {1: [], 2: [1], 3: [1], 4: [2, 3]}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_frequent_words_bring_documents_and_fixtures_together_only_in_combination(spark):
+    """Whatever counts as frequent, the links are the same, and they are those of all pairs."""
+    from pitchloom.operators import linking
+
+    names = ["a-b", "a-c", "b-c-d", "d", "a-d-e", "e-f"]
+    fixtures = [(10 * i + j, 1000 * i + j, x, y, "k l".split()[(i + j) % 2]) for i, x in enumerate(names) for j, y in enumerate(names) if i != j]
+    documents = [(i, " ".join(w for k, w in enumerate("abcdefklz") if i >> k & 1)) for i in range(512)]
+    want = {}
+    for hay, text in documents:
+        own, best = set(text.split()), None
+        for m, at, *slots in fixtures:
+            parts = [s.split("-") for s in slots]
+            hits = [sum(w in own for w in p) for p in parts]
+            score = sum(hits) / sum(map(len, parts))
+            if hits[0] and hits[1] and score >= 0.55 and (best is None or (score, at, -m) > best):
+                best = score, at, -m
+        if best:
+            want[hay] = -best[2]
+    d = spark.createDataFrame(documents, "hay_id long, text string")
+    f = spark.createDataFrame(fixtures, "match_id long, at long, home string, away string, competition string").withColumn("kickoff_at", F.timestamp_seconds("at"))
+    for frequent in (0, 200, 1000):
+        assert {r.hay_id: r.match_id for r in linking.linked_to_fixtures(d, f, frequent=frequent).collect()} == want
