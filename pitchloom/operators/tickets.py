@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,39 +104,98 @@ def extended(pmf: list[float], p: float) -> list[float]:
     return [a * (1 - p) + b * p for a, b in zip([*pmf, 0.0], [0.0, *pmf])]
 
 
+def summed(rows: np.ndarray) -> np.ndarray:
+    """The sum of each row with Python's own compensation, so that a slate gets what `sum` would give it alone."""
+    high, low = np.zeros(len(rows)), np.zeros(len(rows))
+    for x in rows.T:
+        t = high + x
+        low += np.where(np.abs(high) >= np.abs(x), (high - t) + x, (x - t) + high)
+        high = t
+    return high + low
+
+
+#: What a state has used (doubles, triples) and its distributions of hits, their tails and kinds (numbers in KINDS), a row a slate.
+Covered = dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+KINDS = np.array(["fixed", "double", "triple"], dtype=object)
+
+
+def covered_states(top: np.ndarray, second: np.ndarray, doubles: int, triples: int, need: int) -> Covered:
+    """The states of K02 of all slates of one length at once (top, second: a row a slate). A state follows from smaller ones only, so those of a smaller budget are among them."""
+    n, positions = top.shape
+    tail = lambda pmf: np.ones(n) if need <= 0 else summed(pmf[:, need:])
+    states: Covered = {(0, 0): (np.ones((n, 1)), np.ones(n), np.zeros((n, positions), dtype=np.int8))}
+    for i in range(positions):
+        fixed, double = np.clip(top[:, i], 0.0, 1.0), np.clip(top[:, i] + second[:, i], 0.0, 1.0)
+        new: Covered = {}
+        for d, t in ((d, t) for d in range(doubles + 1) for t in range(triples + 1)):
+            for kind, before, p in ((1, (d - 1, t), double), (2, (d, t - 1), np.ones(n)), (0, (d, t), fixed)):
+                if before not in states:
+                    continue
+                pmf, _, kinds = states[before]
+                p, edge = p[:, None], np.zeros((n, 1))
+                longer = np.hstack([pmf, edge]) * (1 - p) + np.hstack([edge, pmf]) * p
+                reached, kinds = tail(longer), kinds.copy()
+                kinds[:, i] = kind
+                if (d, t) in new:
+                    old = new[d, t]
+                    better = reached > old[1]
+                    longer, reached, kinds = np.where(better[:, None], longer, old[0]), np.where(better, reached, old[1]), np.where(better[:, None], kinds, old[2])
+                new[d, t] = longer, reached, kinds
+        states = new
+    return states
+
+
+def best_state(states: Covered, doubles: int, triples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each slate's distribution, tail and kinds with the best tail within the budget; of equals, the fewest doubles."""
+    found = [s for (d, t), s in sorted(states.items(), key=lambda x: x[0]) if d <= doubles and t <= triples]
+    at = np.argmax(np.stack([s[1] for s in found]), axis=0)
+    return tuple(np.stack([s[k] for s in found])[at, np.arange(len(at))] for k in range(3))
+
+
+def sides(options: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.array(options, dtype=float).reshape(1, -1, 2)
+    return rows[:, :, 0], rows[:, :, 1]
+
+
 def coverage_plan(options: list[tuple[float, float]], doubles: int, triples: int, need: int) -> tuple[list[str], float, float]:
     """Kinds, chance of `need` hits or more, expected hits: each state (doubles, triples used) keeps the distribution with the best tail, so the result is near the best rather than the best."""
-    tail = lambda pmf: 1.0 if need <= 0 else sum(pmf[need:])
-    states: dict[tuple[int, int], tuple[list[float], tuple]] = {(0, 0): ([1.0], ())}
-    for top, second in options:
-        chances = (("fixed", 0, 0, min(max(top, 0.0), 1.0)), ("double", 1, 0, min(max(top + second, 0.0), 1.0)), ("triple", 0, 1, 1.0))
-        new: dict[tuple[int, int], tuple[list[float], tuple]] = {}
-        for (d, t), (pmf, kinds) in sorted(states.items()):
-            for kind, dd, dt, p in chances:
-                key = (d + dd, t + dt)
-                if key[0] <= doubles and key[1] <= triples:
-                    longer = extended(pmf, p)
-                    if key not in new or tail(longer) > tail(new[key][0]):
-                        new[key] = (longer, (*kinds, kind))
-        states = new
-    best, chosen, kinds = -1.0, [1.0], ()
-    for _, (pmf, k) in sorted(states.items()):
-        if tail(pmf) > best:
-            best, chosen, kinds = tail(pmf), pmf, k
-    return list(kinds), best, sum(k * v for k, v in enumerate(chosen))
+    pmf, chance, kinds = best_state(covered_states(*sides(options), doubles, triples, need), doubles, triples)
+    return KINDS[kinds[0]].tolist(), float(chance[0]), float(summed(pmf * np.arange(pmf.shape[1]))[0])
+
+
+def least_budgets(states: Covered, target: float, doubles: int, triples: int) -> tuple[np.ndarray, ...]:
+    """Doubles, triples, chance and whether the target is reached, of each slate: the first budget, few triples before few doubles, that reaches it; else the best one."""
+    order = [(d, t) for t in range(triples + 1) for d in range(doubles + 1)]
+    chances = np.stack([best_state(states, d, t)[1] for d, t in order])
+    reached = chances >= target
+    at = np.where(reached.any(axis=0), np.argmax(reached, axis=0), np.argmax(chances, axis=0))
+    used = np.array(order, dtype=np.int64)[at]
+    return used[:, 0], used[:, 1], chances[at, np.arange(len(at))], reached.any(axis=0)
 
 
 def least_budget(options: list[tuple[float, float]], target: float, need: int, doubles: int, triples: int) -> tuple[int, int, float, bool]:
-    """The first budget, few triples before few doubles, that reaches the target; else the best one."""
-    best = (0, 0, -1.0)
-    for t in range(triples + 1):
-        for d in range(doubles + 1):
-            chance = coverage_plan(options, d, t, need)[1]
-            if chance > best[2]:
-                best = (d, t, chance)
-            if chance >= target:
-                return d, t, chance, True
-    return *best, False
+    """One slate's budget by `least_budgets`."""
+    d, t, chance, reached = least_budgets(covered_states(*sides(options), doubles, triples, need), target, doubles, triples)
+    return int(d[0]), int(t[0]), float(chance[0]), bool(reached[0])
+
+
+def by_length(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """Runs an array function on the slates of a batch that have equally many positions: slate ids, and positions, top and second with a row a slate. All slates of a length take one pass of the DP together."""
+    slates = rows.groupBy("slate_id").agg(F.array_sort(F.collect_list(F.struct("position", "top", "second"))).alias("p"))
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column("slate_id").to_numpy(), batch.column("p")
+            sizes, values = lists.value_lengths().to_numpy(), lists.flatten()
+            starts = np.cumsum(sizes) - sizes
+            position, top, second = (values.field(c).to_numpy(zero_copy_only=False) for c in ("position", "top", "second"))
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                at = starts[own][:, None] + np.arange(size)
+                yield pa.RecordBatch.from_arrays(work(ids[own], position[at], top[at], second[at]), names=names)
+
+    return slates.mapInArrow(run, schema)
 
 
 def by_slate(rows: DataFrame, columns: list[str], work: Callable[[tuple], list[tuple]], schema: str) -> DataFrame:
@@ -169,22 +229,23 @@ def optimised(rows: DataFrame, doubles: int, triples: int) -> DataFrame:
 def covered_plans(rows: DataFrame, doubles: int, triples: int, share: float = 0.9) -> DataFrame:
     """slate_id, position, decision, and the slate's chance of a share of hits and expected hits."""
 
-    def work(slate: tuple) -> list[tuple]:
-        slate_id, positions = slate
-        kinds, chance, expected = coverage_plan([(t, s) for _, t, s in positions], doubles, triples, math.ceil(share * len(positions)))
-        return [(slate_id, p[0], k, chance, expected) for p, k in zip(positions, kinds, strict=True)]
+    def work(ids: np.ndarray, position: np.ndarray, top: np.ndarray, second: np.ndarray) -> list[pa.Array]:
+        size = position.shape[1]
+        pmf, chance, kinds = best_state(covered_states(top, second, doubles, triples, math.ceil(share * size)), doubles, triples)
+        expected = summed(pmf * np.arange(size + 1))
+        return [pa.array(np.repeat(ids, size)), pa.array(position.reshape(-1)), pa.array(KINDS[kinds.reshape(-1)], pa.string()), pa.array(np.repeat(chance, size)), pa.array(np.repeat(expected, size))]
 
-    return by_slate(rows, ["top", "second"], work, "slate_id long, position long, decision string, chance double, expected double")
+    return by_length(rows, work, "slate_id long, position long, decision string, chance double, expected double")
 
 
 def budgets(rows: DataFrame, target: float, doubles: int, triples: int, share: float = 0.6) -> DataFrame:
     """Per slate the least doubles and triples that reach the target."""
 
-    def work(slate: tuple) -> list[tuple]:
-        slate_id, positions = slate
-        return [(slate_id, *least_budget([(t, s) for _, t, s in positions], target, math.ceil(share * len(positions)), doubles, triples))]
+    def work(ids: np.ndarray, position: np.ndarray, top: np.ndarray, second: np.ndarray) -> list[pa.Array]:
+        states = covered_states(top, second, doubles, triples, math.ceil(share * position.shape[1]))
+        return [pa.array(ids), *map(pa.array, least_budgets(states, target, doubles, triples))]
 
-    return by_slate(rows, ["top", "second"], work, "slate_id long, doubles_needed long, triples_needed long, chance double, target_reached boolean")
+    return by_length(rows, work, "slate_id long, doubles_needed long, triples_needed long, chance double, target_reached boolean")
 
 
 #: Budgets by product: doubles of the doubles-only ticket, doubles and triples of the full one. Chances from which a draw is live.
