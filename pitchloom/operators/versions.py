@@ -15,7 +15,8 @@ def ascii_json(value: Column) -> Column:
     """Compact JSON of a struct in the order of its fields, nulls written, other letters as lower-case \\u escapes of UTF-16."""
     json = F.to_json(value, {"ignoreNullFields": "false"})
     escaped = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    spelled = F.array_join(F.transform(F.split(json, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), escaped(c)).otherwise(c)), "")
+    parts = F.split(json, r"(?<=[\x00-\x7F])(?=[^\x00-\x7F])|(?<=[^\x00-\x7F])(?=[\x00-\x7F])")  # runs of ASCII and of other letters in turn, not one letter each
+    spelled = F.array_join(F.transform(parts, lambda c: F.when(c >= "\u0080", escaped(c)).otherwise(c)), "")
     return F.when(json.rlike(r"[^\x00-\x7F]"), spelled).otherwise(json)
 
 
