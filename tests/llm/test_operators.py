@@ -504,3 +504,28 @@ def test_members_that_a_task_linked_to_an_unsettled_one_meet_the_rest_and_copies
     links = passages.linked(spark.createDataFrame(rows, passages.KEYED))
     found = spark.createDataFrame([(2, 0, 0, 60, 0), (3, 0, 0, 60, 1)], passages.FOUND)  # 2 is settled with 0, 3 with 1; 1 and its copy 4 are unlike 0
     assert {(r.doc, r.hub) for r in passages.unlike(links, found).collect()} == {(2, 1), (3, 0), (3, 2)}
+
+
+def test_keys_that_one_document_has_alone_go_and_shared_ones_keep_two(spark):
+    """r03: repeats within one document took most of the memory and disk; a key must not lose its second document among a task's many rows of the first."""
+    rows = [(7, 0, p, 9, -1, -1, None, p, False) for p in range(40)] + [(8, d, d, 9, -1, -1, None, d, True) for d in range(2)]
+    assert {(r.doc, r.hub) for r in passages.linked(spark.createDataFrame(rows, passages.KEYED)).collect()} == {(1, 0)}
+    doc = np.r_[np.zeros(40, dtype=np.int64), np.ones(3, dtype=np.int64)]
+    hashes = np.full(43, 5, dtype=np.uint64)
+    kept = passages.keyed([(hashes, doc, np.arange(43), hashes, hashes, doc > 0)]).to_pylist()
+    assert sum(r["hub"] < 0 and r["doc"] == 1 for r in kept) == 1 and sum(r["doc"] == 1 for r in kept) == 3
+
+
+def test_two_texts_that_repeat_a_line_are_one_row_of_work(spark):
+    """r03: each distance at which repeated lines meet was a row with both texts."""
+    docs = frame(spark, [" ".join([words(30, 77)] * 8), " ".join([words(30, 77)] * 8)]).select("doc_id", "text")
+    links = passages.linked(docs.mapInArrow(passages.bucket_rows, passages.KEYED))
+    made, real = [], passages.cut
+    passages.cut = lambda df: made.append(real(df)) or made[-1]
+    try:
+        found = passages.beside(links, docs)
+    finally:
+        passages.cut = real
+    assert made[0].count() == 1
+    rows = found.where("source_id is not null").collect()
+    assert {r.doc_id for r in rows} == {1} and {k for r in rows for k in range(r.first, r.last)} == set(range(240))
